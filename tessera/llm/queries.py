@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing
-from .shared import read_table
+from . import bpe, packing, quality, sharding
+from .shared import materialise, read_table
 
 #: The vocabulary file of ops 6 and 10.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -16,9 +16,23 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
+def op7_stratified_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.stratified_shards(read_table(spark, sf_dir, "documents"), "doc_id", "text", "source", 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    scored = quality.with_features(docs, "text", F.col("doc_id"), quality.stratum(F.col("lang")).alias("stratum"))
+    scored = materialise(scored, "quality")
+    labels = read_table(spark, sf_dir, "labels")
+    cutoffs = quality.fit_cutoffs(quality.labelled_features(docs, labels, scored))
+    return quality.with_verdict(scored, cutoffs).select("doc_id", *quality.FEATURES, "base_failed", "kept", "stratum", *quality.RULES)
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "op10_bpe": op10_bpe}
+QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "op7_stratified_interleaving": op7_stratified_interleaving, "op8_risk_controlled_quality": op8_risk_controlled_quality, "op10_bpe": op10_bpe}
 ORACLE_SQL: dict[str, str] = {}
