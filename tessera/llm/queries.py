@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import bpe, packing, quality, sharding
+from . import avi, bpe, packing, quality, secrets, sharding
 from .shared import materialise, read_table
 
 #: The vocabulary file of ops 6 and 10.
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.span_digests(secrets.secret_spans(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
@@ -30,9 +34,13 @@ def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.with_verdict(scored, cutoffs).select("doc_id", *quality.FEATURES, "base_failed", "kept", "stratum", *quality.RULES)
 
 
+def op9_avi_motion_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return avi.film_digests(avi.text_films(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES = {"op6_best_fit_packing": op6_best_fit_packing, "op7_stratified_interleaving": op7_stratified_interleaving, "op8_risk_controlled_quality": op8_risk_controlled_quality, "op10_bpe": op10_bpe}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
