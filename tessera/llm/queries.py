@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi, bpe, neardup, packing, quality, secrets, sharding
+from . import avi, bpe, langid, neardup, packing, quality, secrets, sharding
 from .shared import materialise, read_table
 
 #: The vocabulary file of ops 6 and 10.
@@ -16,6 +16,13 @@ def op1_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.span_digests(secrets.secret_spans(read_table(spark, sf_dir, "documents"), "doc_id", "text"), "doc_id")
 
 
+def op2_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").withColumn("held_out", langid.held_out(F.col("doc_id")))
+    model = langid.fit(docs.where("NOT held_out"), "text", "lang", F.col("doc_id"))
+    found = langid.labelled_spans(docs.select("doc_id", "held_out", "text"), "text", model)
+    return found.select("doc_id", "held_out", "lang_pred", "score", F.size("spans").alias("n_spans"))
+
+
 def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = neardup.classes(read_table(spark, sf_dir, "documents"), "doc_id", "text")
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
@@ -47,5 +54,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op3_order_minhash, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_spans, op3_order_minhash, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
