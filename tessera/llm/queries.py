@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi, bpe, langid, neardup, packing, quality, secrets, sharding
+from . import avi, bpe, htmltext, langid, neardup, packing, quality, secrets, sharding
 from .shared import materialise, read_table
 
 #: The vocabulary file of ops 6 and 10.
@@ -28,6 +28,11 @@ def op3_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "class_id", F.col("id").eqNullSafe(F.col("class_id")).alias("kept"))
 
 
+def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = htmltext.article_texts(read_table(spark, sf_dir, "pages"), "page_id", "url", "html")
+    return texts.withColumn("n_chars", F.char_length("text").cast("long"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
@@ -54,5 +59,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_spans, op3_order_minhash, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_spans, op3_order_minhash, op4_page_differencing, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
