@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi, bpe, htmltext, langid, neardup, packing, quality, secrets, sharding
+from . import avi, bpe, htmltext, langid, neardup, packing, pii, quality, secrets, sharding
 from .shared import materialise, read_table
 
 #: The vocabulary file of ops 6 and 10.
@@ -33,6 +33,10 @@ def op4_page_differencing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return texts.withColumn("n_chars", F.char_length("text").cast("long"))
 
 
+def op5_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.pseudonymised(read_table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed_documents(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
@@ -59,5 +63,5 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.token_digests(read_table(spark, sf_dir, "documents"), "doc_id", "text", TOKENIZER)
 
 
-QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_spans, op3_order_minhash, op4_page_differencing, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_spans, op3_order_minhash, op4_page_differencing, op5_surrogates, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
 ORACLE_SQL: dict[str, str] = {}
