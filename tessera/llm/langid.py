@@ -205,3 +205,13 @@ def labelled_spans(df: DataFrame, text_col: str, model: Model, penalty: float =
 
 def held_out(id_col: Column) -> Column:
     return F.coalesce(F.crc32(id_col.cast("string").cast("binary")) % 4 == 2, F.lit(False))
+
+
+def known_language(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", least: float = 0.5) -> DataFrame:
+    """The rows and columns of ``docs`` that have a language with ``least`` of their letters.
+
+    The model learns from the rows that are not held out.
+    """
+    model = fit(docs.where(~held_out(F.col(id_col))), text_col, lang_col, F.col(id_col))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_t"))
+    return labelled_spans(rows, "_t", model).where(f"lang_pred != 'und' AND score >= {least}").select("_doc.*")

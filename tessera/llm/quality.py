@@ -87,8 +87,8 @@ def features(text: Column, k: int = 5) -> Column:
 
 def with_features(df: DataFrame, text_col: str, *keep: Column) -> DataFrame:
     """The columns of ``keep`` and the features; generating them keeps their work from being repeated."""
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
-    return rows.select(*rows.columns[:-1], F.inline(features(F.col("_text")))).withColumn("base_failed", base_failed())
+    rows = df.select(*keep, F.col(text_col).alias("_text_"))
+    return rows.select(*rows.columns[:-1], F.inline(features(F.col("_text_")))).withColumn("base_failed", base_failed())
 
 
 def base_failed() -> Column:
@@ -153,5 +153,12 @@ def labelled_features(docs: DataFrame, labels: DataFrame, scored: DataFrame | No
     good = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good"))
     if scored is not None:
         return scored.join(good, scored[id_col] == good["_id"])
-    joined = docs.join(good, docs[id_col] == good["_id"])
-    return with_features(joined, text_col, stratum(F.col(lang_col)).alias("stratum"), F.col("good"))
+    docs = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"), stratum(F.col(lang_col)).alias("stratum"))
+    return with_features(docs.join(good, F.col("_doc_id") == F.col("_id")), "_text", F.col("stratum"), F.col("good"))
+
+
+def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
+    """The rows and columns of ``docs`` that the rules keep."""
+    cutoffs = fit_cutoffs(labelled_features(docs, labels, None, id_col, text_col, lang_col))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"), stratum(F.col(lang_col)).alias("stratum"))
+    return with_verdict(with_features(rows, "_text", F.col("_doc"), F.col("stratum")), cutoffs).where("kept").select("_doc.*")
