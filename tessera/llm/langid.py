@@ -41,12 +41,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
 
 
+def _letters(data: np.ndarray) -> np.ndarray:
+    """Bytes of letters; those of marks and symbols beyond ASCII are none."""
+    letter = LETTER[data]
+    nxt = np.append(data[1:], np.uint8(0))
+    marks = (
+        (data == 0xC2, 2), ((data == 0xC3) & ((nxt == 0x97) | (nxt == 0xB7)), 2), ((data == 0xE2) & (nxt < 0xB0), 3), ((data == 0xE3) & (nxt == 0x80), 3), ((data == 0xF0) & (nxt == 0x9F), 4),
+    )
+    for found, size in marks:
+        at = np.flatnonzero(found)
+        for k in range(size if len(at) else 0):
+            letter[np.minimum(at + k, len(data) - 1)] = False
+    return letter
+
+
 def grams(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, np.ndarray]:
     """Positions at which n-grams end, their hashes by order, where words start, and word ends (exclusive)."""
     low = np.append(LOWER[data], np.uint8(0))
     high = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
     low[1:-1][high] += 32
-    letter = np.append(LETTER[data], False)
+    letter = np.append(_letters(data), False)
     low[~letter] = 0
     begins = letter.copy()
     begins[1:] &= ~letter[:-1]
@@ -188,10 +202,13 @@ def labelled_spans(df: DataFrame, text_col: str, model: Model, penalty: float =
                 cut = np.searchsorted(starts, bounds)
                 ascii_letters = np.append(0, np.cumsum((data | 32) - 97 < 26))
                 for i, (a, b) in enumerate(zip(cut, cut[1:])):
-                    if a == b:
+                    if bounds[i] == bounds[i + 1]:
                         continue
                     if ascii_letters[bounds[i]] == ascii_letters[bounds[i + 1]] and not any(map(str.isalpha, batch.column("_text")[i].as_py())):
-                        continue  # marks beyond ASCII that are no letters
+                        continue
+                    if a == b:  # odd letters that make no word tell nothing
+                        found[i] = shared.value.languages[0], 1 / len(shared.value.languages), []
+                        continue
                     base = place[bounds[i]]
                     lang, score, spans = one(scores[a:b], starts[a:b], ends[a:b], place)
                     found[i] = lang, score, [s | {"start": s["start"] - int(base), "end": s["end"] - int(base)} for s in spans]

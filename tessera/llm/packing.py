@@ -16,6 +16,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -81,7 +82,7 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
     return rows.mapInArrow(work, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(counts: dict[int, int], room: int, allowed_waste: int, nodes: int = FILLING_NODES) -> tuple[int, ...]:
+def best_filling(counts: dict[int, int], room: int, nodes: int = FILLING_NODES) -> tuple[int, ...]:
     """The undominated filling of ``room`` with least waste, lengths falling.
 
     Fillings are tried with larger lengths first: a filling that replaces a length by
@@ -92,6 +93,7 @@ def best_filling(counts: dict[int, int], room: int, allowed_waste: int, nodes: i
     sizes = sorted((s for s in counts if counts[s] > 0), reverse=True)
     best, best_waste, seen = (), room + 1, 0
     smallest = sizes[-1] if sizes else room + 1
+    after = [*accumulate(s * counts[s] for s in reversed(sizes))][::-1]
 
     def search(at: int, room_left: int, taken: list[int], left: dict[int, int]) -> None:
         nonlocal best, best_waste, seen
@@ -104,6 +106,8 @@ def best_filling(counts: dict[int, int], room: int, allowed_waste: int, nodes: i
             at += 1
         for i in range(at, len(sizes)):
             s = sizes[i]
+            if room_left - after[i] >= best_waste:
+                return  # all lengths from here on together fill too little
             if left.get(s, counts[s]) <= 0:
                 continue
             left[s] = left.get(s, counts[s]) - 1
@@ -111,9 +115,6 @@ def best_filling(counts: dict[int, int], room: int, allowed_waste: int, nodes: i
             left[s] += 1
             if best_waste <= 0 or seen > nodes:
                 return
-            # One length alone fills up to s; with at most two of what follows, a bound on the rest.
-            if room_left // s == 1 and room_left - s < smallest and best_waste <= room_left - s:
-                return  # what follows is shorter, alone, and wastes more unless two fit
 
     search(0, room, [], {})
     return best
@@ -135,7 +136,7 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
             first = max(left)
             left[first] -= 1
             if search:
-                fill = best_filling(left, capacity - first, 0)
+                fill = best_filling(left, capacity - first)
             else:
                 fill, room = [], capacity - first
                 trial = dict(left)
