@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import avi, bpe, htmltext, langid, neardup, packing, pii, quality, secrets, sharding
+from . import avi, bpe, htmltext, langid, neardup, oracles, packing, pii, quality, secrets, sharding
 from .shared import materialise, read_table
 
 #: The vocabulary file of ops 6 and 10.
@@ -64,4 +64,4 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_secret_scans, op2_language_spans, op3_order_minhash, op4_page_differencing, op5_surrogates, op6_best_fit_packing, op7_stratified_interleaving, op8_risk_controlled_quality, op9_avi_motion_jpeg, op10_bpe)}
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_stratified_interleaving": oracles.SHARDS, "op8_risk_controlled_quality": oracles.QUALITY}
