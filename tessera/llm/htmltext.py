@@ -26,7 +26,6 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bpe import slices, texts_of
 from .shared import materialise
 
 #: Elements by what they mean here.
@@ -174,7 +173,7 @@ def near(path: list[str], other: list[str]) -> int:
 
 
 def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted pages to texts. The first and last page of a task also give their lines."""
+    """Sorted pages, as html or as lines, to texts. The first and last page of a task also give their lines."""
 
     def rows():
         for batch in batches:
@@ -182,7 +181,10 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield batch, i
 
     def page(batch, i):
-        lines = list(zip(batch.column("lines")[i].as_py(), batch.column("places")[i].as_py()))
+        if "html" in batch.schema.names:
+            lines = page_lines(batch.column("html")[i].as_py())
+        else:
+            lines = list(zip(batch.column("lines")[i].as_py(), batch.column("places")[i].as_py()))
         return {c: batch.column(c)[i].as_py() for c in ("id", "url", "host", "path")} | {"lines": lines}
 
     def made(out):
@@ -216,28 +218,35 @@ def _differenced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def article_texts(df: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
     """Id, url and text of every page."""
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "html", 4 << 20):
-            found = [page_lines(x) for x in texts_of(batch, "html")]
-            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), batch.column("host"), batch.column("path"), pa.array([[x for x, _ in f] for f in found], pa.list_(pa.string())), pa.array([[p for _, p in f] for f in found], pa.list_(pa.int32()))], names=["id", "url", "host", "path", "lines", "places"])
-
     kind = df.schema[id_col].dataType.simpleString()
     url = F.coalesce(F.col(url_col), F.lit(""))
     rows = df.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.lower(F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)).alias("host"), F.regexp_extract(url, r"^[A-Za-z][\w+.-]*://[^/?#]*([^?#]*)", 1).alias("path"), F.col(html_col).alias("html"))
-    parsed = rows.mapInArrow(parse, f"id {kind}, url string, host string, path string, lines array<string>, places array<int>")
     key = ["host", "path", "id", "url"]
     out = f"id {kind}, url string, host string, path string, text string, alone boolean, edge boolean, lines array<string>, places array<int>"
-    # A hot host is parted by path. What a range cannot see are pages that stand alone at its ends.
-    parsed = materialise(parsed, "lines")
-    ranges = max(parsed.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    first = materialise(parsed.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInArrow(_differenced, out), "texts")
-    # Two pages a task at most: their neighbours are the ends of the tasks beside.
-    ends = first.where("edge").select("id", "url", "host", "path", "lines", "places", "alone")
+    # A hot host is parted by path. The one shuffle serves both branches below.
+    ranges = max(rows.rdd.getNumPartitions(), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    first = rows.repartitionByRange(ranges, *key).sortWithinPartitions(*key).mapInArrow(_differenced, out)
+    if df.sparkSession.conf.get("spark.sql.exchange.reuse", "true") != "true":
+        first = materialise(first, "texts")  # the branches must see the same ranges
     done = first.where("NOT alone").select("id", "url", "text")
-    if ends.where("alone").isEmpty():
-        texts = done
-    else:
-        again = ends.drop("alone").coalesce(1).sortWithinPartitions(*key).mapInArrow(_differenced, out).select("id", "url", "text")
-        alone = ends.where("alone").select(F.col("id").alias("_id"), F.col("url").alias("_url")).distinct()
-        texts = done.unionByName(again.join(alone, again["id"].eqNullSafe(F.col("_id")) & again["url"].eqNullSafe(F.col("_url")), "left_semi"))
+    # What a range cannot see are pages that stand alone at its ends. The ends of all ranges,
+    # two pages each, are few enough to be sorted by one task, where neighbours meet.
+    ends = first.where("edge").select("id", "url", "host", "path", "lines", "places", "alone").repartition(1)
+    again = ends.sortWithinPartitions(*key).mapInArrow(_flagged, out + ", was_alone boolean")
+    texts = done.unionByName(again.where("was_alone").select("id", "url", "text"))
     return texts.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts of the ends of ranges, with the mark that they came with; they keep their order."""
+    marks: list[bool] = []
+
+    def noted():
+        for batch in batches:
+            marks.extend(batch.column("alone").to_pylist())
+            yield batch
+
+    at = 0
+    for made in _differenced(noted()):
+        yield made.append_column("was_alone", pa.array(marks[at : at + made.num_rows], pa.bool_()))
+        at += made.num_rows
