@@ -32,7 +32,7 @@ class Engine:
         """An engine over the Parquet tables of a folder."""
         engine = cls(spark)
         for t in tables:
-            engine.catalog.register_parquet(t, f"{folder}/{t}.parquet", SCALES.get(t))
+            engine.catalog.defer_parquet(t, f"{folder}/{t}.parquet", SCALES.get(t))
         return engine
 
     def sql(self, text: str, algorithm: str = "auto", legacy_arith: bool = False, use_indexes: bool = True, strict_types: bool = False) -> DataFrame | IndexDef:

@@ -45,10 +45,13 @@ class Catalog:
         self.spark = spark
         self._tables: dict[str, TableDef] = {}
         self._indexes: dict[str, IndexDef] = {}
+        #: Tables whose files are not looked at before a query names them, and the schemas of files.
+        self._deferred: dict[str, tuple[str, dict[str, tuple[int, int]] | None]] = {}
+        self._files: dict[str, T.StructType] = {}
 
     # Definitions
     def create_table(self, name: str, columns: list[tuple[str, str]], path: str = "", scales: dict[str, tuple[int, int]] | None = None) -> TableDef:
-        if name in self._tables:
+        if name in self._tables or name in self._deferred:
             raise CatalogError(f"table {name} exists")
         if len({c for c, _ in columns}) < len(columns):
             raise CatalogError(f"a column of {name} is there twice")
@@ -59,11 +62,17 @@ class Catalog:
 
     def register_parquet(self, name: str, path: str, scales: dict[str, tuple[int, int]] | None = None) -> TableDef:
         """A table whose columns are those of Parquet files."""
-        kinds = []
-        for f in self.spark.read.parquet(path).schema:
+        kinds, self._files[path] = [], self.spark.read.parquet(path).schema
+        for f in self._files[path]:
             kinds.append((f.name, "INTEGER" if isinstance(f.dataType, T.IntegralType) else "FLOAT" if isinstance(f.dataType, (T.FractionalType, T.DecimalType)) else "STRING"))
         return self.create_table(name, kinds, path, scales)
 
+    def defer_parquet(self, name: str, path: str, scales: dict[str, tuple[int, int]] | None = None) -> None:
+        """Like ``register_parquet``, once the table is first used."""
+        if name in self._tables or name in self._deferred:
+            raise CatalogError(f"table {name} exists")
+        self._deferred[name] = (path, scales)
+
     def drop_table(self, name: str) -> None:
         """Forget a table and its indexes; files stay."""
         self.table(name)
@@ -71,12 +80,14 @@ class Catalog:
         self._indexes = {k: i for k, i in self._indexes.items() if i.table != name}
 
     def table(self, name: str) -> TableDef:
+        if name in self._deferred:
+            self.register_parquet(name, *self._deferred.pop(name))
         if name not in self._tables:
             raise CatalogError(f"no table {name}")
         return self._tables[name]
 
     def tables(self) -> list[str]:
-        return sorted(self._tables)
+        return sorted([*self._tables, *self._deferred])
 
     def attributes(self, name: str) -> list[str]:
         return list(self.table(name).columns)
@@ -85,7 +96,12 @@ class Catalog:
         return self.table(name).schema()
 
     def read(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(self.table(name).path)
+        return self.read_files(name, self.table(name).path)
+
+    def read_files(self, name: str, path: str) -> DataFrame:
+        """Files with the schema of a table's own, which spares a look at their footers."""
+        known = self._files.get(self.table(name).path)
+        return (self.spark.read.schema(known) if known else self.spark.read).parquet(path)
 
     # Statistics
     def row_count(self, name: str) -> int | None:
@@ -134,7 +150,7 @@ class Catalog:
     def __str__(self) -> str:
         lines = []
         for name in self.tables():
-            t = self._tables[name]
+            t = self.table(name)
             lines.append(f"{name} ({'?' if t.rows is None else t.rows} rows) {t.path}")
             lines += [f"    {c} {k} {t.distinct.get(c, '?')}" for c, k in t.columns.items()]
         lines += [f"index {i.name} on {i.table}({i.column}) {i.path}" for i in self.indexes()]
@@ -145,7 +161,7 @@ class Catalog:
         return self.spark.createDataFrame(rows, "table_name string, position int, column_name string, type string, n_rows long, n_distinct long")
 
     def save(self, path: str) -> None:
-        text = json.dumps({"tables": [asdict(t) for t in self._tables.values()], "indexes": [asdict(i) for i in self._indexes.values()]})
+        text = json.dumps({"tables": [asdict(self.table(t)) for t in self.tables()], "indexes": [asdict(i) for i in self._indexes.values()]})
         self.spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
     @classmethod

@@ -30,4 +30,4 @@ def build_index(catalog: Catalog, name: str, table: str, column: str, path: str)
 
 
 def read_index(catalog: Catalog, index: IndexDef) -> DataFrame:
-    return catalog.spark.read.parquet(index.path)
+    return catalog.read_files(index.table, index.path)
