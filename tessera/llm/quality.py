@@ -21,6 +21,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .shared import materialise
+
 #: Cutoffs that are tested, loosest first.
 CUTOFFS = (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1, 0.07, 0.05)
 RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio")
@@ -148,17 +150,20 @@ def with_verdict(scored: DataFrame, cutoffs: DataFrame) -> DataFrame:
     return scored.join(F.broadcast(cutoffs), "stratum", "left").withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
-def labelled_features(docs: DataFrame, labels: DataFrame, scored: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Features of the labelled documents; ``scored`` gives them where they are known."""
+def labelled_features(scored: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The scored documents that have a label, and whether it is good."""
     good = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").alias("_id")).agg((F.max("quality") == 1).alias("good"))
-    if scored is not None:
-        return scored.join(good, scored[id_col] == good["_id"])
-    docs = docs.select(F.col(id_col).alias("_doc_id"), F.col(text_col).alias("_text"), stratum(F.col(lang_col)).alias("stratum"))
-    return with_features(docs.join(good, F.col("_doc_id") == F.col("_id")), "_text", F.col("stratum"), F.col("good"))
+    return scored.select(F.col(id_col).alias("_doc_id"), "stratum", "base_failed", *RULES).join(good, F.col("_doc_id") == F.col("_id"))
 
 
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows and columns of ``docs`` that the rules keep."""
-    cutoffs = fit_cutoffs(labelled_features(docs, labels, None, id_col, text_col, lang_col))
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"), stratum(F.col(lang_col)).alias("stratum"))
+    """The rows and columns of ``docs`` that the rules keep.
+
+    Scores for fitting are written without the texts, so no text is shuffled to meet its label;
+    the verdict scores the documents again as they pass.
+    """
+    of = stratum(F.col(lang_col)).alias("stratum")
+    scored = materialise(with_features(docs, text_col, F.col(id_col).alias("_row_id"), of), "scored")
+    cutoffs = fit_cutoffs(labelled_features(scored, labels, "_row_id"))
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"), of)
     return with_verdict(with_features(rows, "_text", F.col("_doc"), F.col("stratum")), cutoffs).where("kept").select("_doc.*")

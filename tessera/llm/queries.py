@@ -51,7 +51,7 @@ def op8_risk_controlled_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = quality.with_features(docs, "text", F.col("doc_id"), quality.stratum(F.col("lang")).alias("stratum"))
     scored = materialise(scored, "quality")
     labels = read_table(spark, sf_dir, "labels")
-    cutoffs = quality.fit_cutoffs(quality.labelled_features(docs, labels, scored))
+    cutoffs = quality.fit_cutoffs(quality.labelled_features(scored, labels))
     return quality.with_verdict(scored, cutoffs).select("doc_id", *quality.FEATURES, "base_failed", "kept", "stratum", *quality.RULES)
 
 
