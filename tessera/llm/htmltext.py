@@ -6,10 +6,11 @@ paired with the neighbour of its host whose path has more leading segments in co
 lines of the two are aligned by a longest common subsequence, and shared lines, which are
 the site's template, are deleted.
 
-Two kinds of line are never deleted by differencing: those that the page itself marks as
-its article (``article``, else ``main``), where only the marked text is kept and shared
-passages belong to it, and those of a page most of whose text its neighbour repeats, as such
-a pair are copies and not two articles in one template.
+Every page is differenced. Afterwards the lines of the largest element that the page itself
+marks as its article (``article``, else ``main``) are restored, for a passage that two articles
+share belongs to both; all other lines, in other articles too, are left as differencing has
+them. A page without such a mark most of whose text its neighbour repeats keeps its lines, as
+such a pair are copies and not two articles in one template.
 
 Null or empty html gives an empty text. A page without a neighbour keeps its lines; a URL that
 can't be parsed has an empty host. Repeated rows are each other's neighbours, hence copies.
@@ -151,18 +152,17 @@ def common_lines(a: list[str], b: list[str]) -> list[int]:
 
 
 def main_text(lines: list[tuple[str, int]], mate: list[tuple[str, int]] | None) -> str:
+    """The lines that the mate does not share, and those of the page's own largest article (or main)."""
+    texts = [line for line, _ in lines]
     sizes: dict[int, int] = {}
     for line, place in lines:
         sizes[place] = sizes.get(place, 0) + len(line)
-    if marked := [p for p in sizes if p > 0] or [p for p in sizes if p == 0]:
-        chosen = max(marked, key=lambda p: (sizes[p], -p))
-        return " ".join(line for line, place in lines if place == chosen)
-    if mate:
-        texts = [line for line, _ in lines]
-        shared = set(common_lines(texts, [line for line, _ in mate]))
-        if 2 * sum(len(texts[i]) for i in shared) <= sum(map(len, texts)):
-            return " ".join(line for i, line in enumerate(texts) if i not in shared)
-    return " ".join(line for line, _ in lines)
+    marked = [p for p in sizes if p > 0] or [p for p in sizes if p == 0]
+    chosen = max(marked, key=lambda p: (sizes[p], -p)) if marked else None
+    shared = set(common_lines(texts, [line for line, _ in mate])) if mate else set()
+    if chosen is None and 2 * sum(len(texts[i]) for i in shared) > sum(map(len, texts)):
+        shared = set()
+    return " ".join(line for i, (line, place) in enumerate(lines) if i not in shared or place == chosen)
 
 
 def near(path: list[str], other: list[str]) -> int:

@@ -214,6 +214,13 @@ def test_differencing(spark):
     assert htmltext.article_texts(df.limit(0), "page_id", "url", "html").count() == 0
 
 
+def test_differencing_decides_on_marked_pages(spark):
+    page = "<div>Site name</div><div>By author {0}</div><article><h1>Head {0}</h1><p>A passage of both</p></article><div>All rights reserved</div>"
+    df = spark.createDataFrame([(i, f"http://h.example/a/{i}", page.format(i)) for i in range(6)], "page_id int, url string, html string")
+    got = {r["page_id"]: r["text"] for r in htmltext.article_texts(df, "page_id", "url", "html").collect()}
+    assert got == {i: f"By author {i} Head {i} A passage of both" for i in range(6)}
+
+
 def test_pages_table(spark, small):
     import html as h
 
