@@ -30,6 +30,8 @@ from .shared import hash_bucket, materialise
 RANK_BUCKETS = 256
 #: Fillings that the search looks at for one bin before it keeps the best so far.
 FILLING_NODES = 20_000
+#: Steps of the search over bins before the best plan so far is taken.
+SEARCH_NODES = 200_000
 
 
 class WordEncoder(BpeEncoder):
@@ -120,12 +122,74 @@ def best_filling(counts: dict[int, int], room: int, nodes: int = FILLING_NODES)
     return best
 
 
+def fillings(counts: dict[int, int], room: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
+    """The fullest filling, then all others that no exchange of one length for a longer one left over betters.
+
+    Each step takes one from ``steps[0]``; none are found when that is used up.
+    """
+    first = best_filling(counts, room)
+    yield first
+    sizes = sorted((s for s, n in counts.items() if n > 0 and s <= room), reverse=True)
+    stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
+    while stack and steps[0] > 0:
+        steps[0] -= 1
+        i, left, taken = stack.pop()
+        while i < len(sizes) and sizes[i] > left:
+            i += 1
+        if i < len(sizes):
+            s = sizes[i]
+            stack += [(i + 1, left - k * s, taken + (s,) * k) for k in range(min(counts[s], left // s) + 1)]
+        elif taken != first and not any(x < u <= x + left and counts[u] > taken.count(u) for x in {0, *taken} for u in sizes):
+            yield taken
+
+
+def search_bins(histogram: dict[int, int], capacity: int, most_bins: int, nodes: int = SEARCH_NODES) -> list[tuple[tuple[int, ...], int]] | None:
+    """The fewest bins below ``most_bins``, deepest first; None if there are none or ``nodes`` steps find none."""
+    total = sum(s * n for s, n in histogram.items())
+    least, steps, best = -(-total // capacity), [nodes], None
+    left, runs, waste, bins = {s: n for s, n in histogram.items() if n > 0}, [], 0, 0
+
+    def choices() -> Iterator[tuple[tuple[int, ...], int]]:
+        first = max(left)
+        rest = {s: n - (s == first) for s, n in left.items()}
+        for fill in fillings(rest, capacity - first, steps):
+            bin_ = tuple(sorted((first, *fill), reverse=True))
+            for times in range(min(left[s] // bin_.count(s) for s in set(bin_)), 0, -1):
+                yield bin_, times
+
+    levels = [choices()] if left else []
+    while levels and steps[0] > 0 and most_bins > least:
+        steps[0] -= 1
+        if len(runs) == len(levels):  # back from below
+            bin_, times = runs.pop()
+            for s in bin_:
+                left[s] = left.get(s, 0) + times
+            waste, bins = waste - times * (capacity - sum(bin_)), bins - times
+        bin_, times = next(levels[-1], ((), 0))
+        if not times:
+            levels.pop()
+            continue
+        for s in bin_:
+            left[s] -= times
+            if not left[s]:
+                del left[s]
+        runs.append((bin_, times))
+        waste, bins = waste + times * (capacity - sum(bin_)), bins + times
+        if not left:
+            if bins < most_bins:
+                most_bins, best = bins, list(runs)
+        elif -(-(total + waste) // capacity) < most_bins:
+            levels.append(choices())
+    return best
+
+
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (lengths, how many such bins), few bins in all.
 
     Best-fit decreasing gives the incumbent. Bin completion fills around the largest length
     left, as often as the filling can be had, and stops as soon as the waste so far allows
-    no fewer bins than the incumbent has.
+    no fewer bins than the incumbent has. Where that leaves more bins than the sum of lengths
+    needs, ``search_bins`` goes back to the other fillings.
     """
     total = sum(s * n for s, n in histogram.items())
     least = -(-total // capacity)
@@ -161,8 +225,8 @@ def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int,
     incumbent = complete(False, float("inf"))
     size = sum(n for _, n in incumbent)
     if size > least and (better := complete(True, size)) and sum(n for _, n in better) < size:
-        return better
-    return incumbent
+        incumbent, size = better, sum(n for _, n in better)
+    return size > least and search_bins(histogram, capacity, size) or incumbent
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:

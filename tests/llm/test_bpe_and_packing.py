@@ -117,6 +117,13 @@ def test_plans_hold_all_pieces(histogram):
     assert sum(n for _, n in plan) <= len(first_fit)
 
 
+def test_plans_go_back_to_other_fillings():
+    lengths = [800, 750, 675, 675, 275, 200, 200, 175, 125, 75, 50]
+    plan = plan_bins(dict(collections.Counter(lengths)), 1024)
+    assert sum(n for _, n in plan) == 4 and all(sum(b) <= 1024 for b, _ in plan)
+    assert sorted(s for b, n in plan for s in b * n) == sorted(lengths)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 15), st.integers(1, 3), max_size=6), st.integers(0, 30))
 def test_fillings_are_the_fullest(counts, room):
