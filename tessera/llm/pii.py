@@ -1,20 +1,28 @@
 """Surrogates for personal data, in DataFrame operations only.
 
 One pattern finds mail addresses, IPv4 addresses, IBANs, social security numbers, phone
-and card numbers, and names after a title. Every entity is reduced to a norm (digits
-without separators, lower case, a name's parts one by one), and a keyed hash of the norm
-gives its surrogate: of the same kind, format and script, names of the same gender, card
-numbers and IBANs with valid check digits where the original has them. Thus an entity has
-one surrogate in all documents, however it is written.
+and card numbers, and names after a title. It runs once over each text; texts without a find
+go on as they are. In a text with names, later mentions of any part of them, without a title,
+are found too. Every entity is reduced to a norm (digits without separators, lower case, a
+name's parts one by one), and a keyed hash of the norm gives its surrogate: of the same kind,
+format, case and script, names of the same gender, card numbers and IBANs with valid check
+digits where the original has them. Thus an entity has one surrogate in all documents,
+however it is written.
+
+A given name that stands after titles of several genders (Dr and Mrs) has the one that is
+more frequent in the corpus, of a tie the female one; a title that tells none has no vote.
 
 Distinct entities must not meet. Over the distinct norms of the corpus, a surrogate that
 another norm has too, or that is itself a norm, goes to the least norm only, or to none;
-the others try again with another hash, until all differ. Only these rare overrides are
-looked up when texts are rewritten; all other surrogates are computed in place, so texts
-are not shuffled for them.
+the others try again with another hash, until all differ. Only where a format has no room
+left (``STUCK`` rounds that place none) a hash is added, which breaks the format and not
+the distinctness. Rare overrides are looked up by text, of texts with finds only.
 
 Null texts stay null and have no entities; repeated rows are rewritten alike; other columns
-stay as they are; an empty table gives an empty result.
+stay as they are, whatever their names, but for those that n_<kind> replaces; of matches that
+begin at one place the first kind in PATTERNS counts; a mention that is part of several names
+follows the first; an empty table gives an empty result. Patterns read a run of characters
+once, so long texts take time in proportion.
 """
 
 from __future__ import annotations
@@ -37,11 +45,12 @@ NAMES = {
     "surname|cyrillic": "Азаренко Бондаренко Власенко Гончаренко Доценко Ермоленко Жук Зинченко Игнатенко Коваль Лысенко Мороз Назаренко Остапенко Павленко Романенко".split(),
 }
 LETTERS = {"cyrillic": "абвгдежзиклмнопрстуфхцчшэюя", "greek": "αβγδεζηθικλμνξοπρστυφχψω", "latin": "abcdefghijklmnopqrstuvwxyz"}
-_TITLE = "(?:" + "|".join(t for ts in TITLES.values() for t in sorted(ts, key=len, reverse=True)) + ")"
-_PART = r"\p{Lu}[\p{L}'’-]+"
+_cases = lambda ts: "|".join(dict.fromkeys(x for t in sorted(ts, key=len, reverse=True) for x in (t, t.upper())))
+_TITLE = "(?:" + _cases(t for ts in TITLES.values() for t in ts) + ")"
+_PART = r"\p{Lu}\p{L}++(?:['’-]\p{L}{2,}+)*+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]*[\p{L}\p{N}])?\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+(?:\.[\p{L}\p{N}]++(?:-++[\p{L}\p{N}]++)*+)++",
     "ip": rf"(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d)",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ssn": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])",
@@ -50,12 +59,16 @@ PATTERNS = {
     "name": rf"(?<!\p{{L}}){_TITLE}\.? {_PART}(?: {_PART}){{0,2}}",
 }
 KINDS = tuple(PATTERNS)
-ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-ROUNDS = 12
+#: All kinds but addresses with an at sign begin with one of few characters, which spares most places a trial.
+PLAIN = "(?=[0-9+(" + "".join(sorted({t[0] for ts in TITLES.values() for t in ts} | set("ABCDEFGHIJKLMNOPQRSTUVWXYZ") | {"Г"})) + "])(?:" + "|".join(f"(?:{p})" for k, p in PATTERNS.items() if k != "email") + ")"
+ANY = f"(?:{PATTERNS['email']})|{PLAIN}"
+STUCK = 3
 
 
-def _pick(options, at: Column) -> Column:
-    return F.element_at(F.array(*map(F.lit, options)), (at % len(options)).cast("int") + 1)
+def _pick(options: list[str] | str, at: Column) -> Column:
+    """One of a list of words, or of the letters of a string."""
+    at = (at % len(options)).cast("int") + 1
+    return F.substring(F.lit(options), at, F.lit(1)) if isinstance(options, str) else F.element_at(F.split(F.lit(" ".join(options)), " "), at)
 
 
 def _byte(h: Column, i: Column) -> Column:
@@ -64,7 +77,7 @@ def _byte(h: Column, i: Column) -> Column:
 
 def kind_of(e: Column) -> Column:
     return (
-        F.when(e.contains("@"), "email").when(e.rlike(rf"^{_TITLE}\.? "), "name").when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(e.rlike(r"^[\d]{1,3}(\.\d{1,3}){3}$"), "ip")
+        F.when(e.contains("@"), "email").when(e.rlike(rf"^{_TITLE}\.? ") | e.rlike(rf"^{_PART}$"), "name").when(e.rlike(r"^[A-Z]{2}\d{2}"), "iban").when(e.rlike(r"^[\d]{1,3}(\.\d{1,3}){3}$"), "ip")
         .when(e.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(e.rlike(r"^[+(]|^\d{3}[-.]\d{3}[-.]\d{4}$"), "phone").otherwise("card")
     )
 
@@ -77,16 +90,29 @@ def _name_parts(e: Column) -> Column:
     return F.split(F.regexp_replace(e, rf"^{_TITLE}\.? ", ""), " ")
 
 
-def units(e: Column) -> Column:
-    """The (kind, norm) of which an entity is made: one, or one for each part of a name."""
+def _titled(e: Column) -> Column:
+    return e.rlike(rf"^{_TITLE}\.? ")
+
+
+def _unit(kind: Column, norm: Column) -> Column:
+    return F.struct(kind.alias("kind"), norm.alias("norm"))
+
+
+def units(e: Column, people: Column | None = None) -> Column:
+    """The (kind, norm) of which an entity is made: one, or one for each part of a name.
+
+    ``people`` has those of the names in the text, by which a mention without a title is known.
+    """
     gender = F.lit("n")
     for g in "fm":
-        gender = F.when(e.rlike("^(?:" + "|".join(TITLES[g]) + r")\.? "), g).otherwise(gender)
-    parts = _name_parts(e)
-    name = F.transform(parts, lambda p, i: F.struct(F.when(i == F.size(parts) - 1, F.concat(F.lit("surname|"), _script(p))).otherwise(F.concat(F.lit("given|"), gender, F.lit("|"), _script(p))).alias("kind"), F.lower(p).alias("norm")))
-    kind = kind_of(e)
+        gender = F.when(e.rlike("^(?:" + _cases(TITLES[g]) + r")\.? "), g).otherwise(gender)
+    parts, kind = _name_parts(e), kind_of(e)
+    name = F.transform(parts, lambda p, i: _unit(F.when(i == F.size(parts) - 1, F.concat(F.lit("surname|"), _script(p))).otherwise(F.concat(F.lit("given|"), gender, F.lit("|"), _script(p))), F.lower(p)))
+    if people is not None:
+        known = F.slice(F.filter(people, lambda u: u["norm"] == F.lower(e)), 1, 1)
+        name = F.when(_titled(e), name).otherwise(known)
     norm = F.when(kind == "email", F.lower(e)).when(kind == "ip", e).otherwise(F.regexp_replace(e, r"[^\p{L}\p{N}+]", ""))
-    return F.when(kind == "name", name).otherwise(F.array(F.struct(kind.alias("kind"), norm.alias("norm"))))
+    return F.when(kind == "name", name).otherwise(F.array(_unit(kind, norm)))
 
 
 def _joined(n: Column, of) -> Column:
@@ -152,7 +178,7 @@ def surrogate(kind: Column, norm: Column, attempt: Column, key: str) -> Column:
         host = F.substring(domain, F.lit(1), F.length(domain) - F.length(top))
         of_domain = F.sha2(F.concat_ws("\0", F.lit(key), F.lit("domain"), domain).cast("binary"), 256)
         longer = F.substring(F.translate(h, "0123456789", "ghijklmnop"), F.lit(1), attempt)
-        email = F.concat(_disguised(local, h), longer, F.lit("@"), _disguised(host, F.concat(of_domain, of_domain)), top)
+        email = F.concat(_disguised(local, h), longer, F.lit("@"), _let(F.concat(of_domain, of_domain), lambda d: _disguised(host, d)), top)
         out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "iban", iban).when(kind == "ssn", F.concat(F.lit("9"), digits(n - 1))).when(kind == "phone", phone).when(kind == "card", card)
         for k, names in NAMES.items():
             out = out.when(kind == k, _several(names, h, attempt + 1))
@@ -175,78 +201,116 @@ def _unit_key(kind: Column, norm: Column) -> Column:
     return F.concat(kind, F.lit("\0"), norm)
 
 
-def rewritten(e: Column, key: str, overrides: Column | None) -> Column:
+def rewritten(e: Column, key: str, people: Column, overrides: Column) -> Column:
     """The surrogate of one entity as it is written there."""
 
     def canon(u: Column) -> Column:
-        plain = surrogate(u["kind"], u["norm"], F.lit(0), key)
-        return plain if overrides is None else F.coalesce(F.element_at(overrides, _unit_key(u["kind"], u["norm"])), plain)
+        return F.coalesce(F.element_at(overrides, _unit_key(u["kind"], u["norm"])), surrogate(u["kind"], u["norm"], F.lit(0), key))
 
     def by_parts(parts: Column) -> Column:
         first, kind = parts[0], kind_of(e)
-        shout = (F.upper(e) == e) & (F.lower(e) != e)
-        email = F.when(shout, F.upper(first)).otherwise(first)
-        title = F.regexp_extract(e, rf"^({_TITLE}\.? )", 1)
-        return F.when(kind == "email", email).when(kind == "ip", first).when(kind == "name", F.concat(title, F.array_join(parts, " "))).when(F.length(F.regexp_replace(e, r"[^\p{L}\p{N}+]", "")) == F.length(first), _filled(e, first)).otherwise(first)
+        loud = lambda x: (F.upper(x) == x) & (F.lower(x) != x)
+        email = F.when(loud(e), F.upper(first)).otherwise(first)
+        old, title = _name_parts(e), F.regexp_extract(e, rf"^({_TITLE}\.? )", 1)
+        name = F.array_join(F.transform(parts, lambda p, i: F.when(loud(F.get(old, i)), F.upper(p)).otherwise(p)), " ")
+        return F.when(kind == "email", email).when(kind == "ip", first).when(kind == "name", F.concat(title, name)).when(F.length(F.regexp_replace(e, r"[^\p{L}\p{N}+]", "")) == F.length(first), _filled(e, first)).otherwise(first)
 
-    return _let(F.transform(units(e), canon), by_parts)
+    return _let(F.transform(units(e, people), canon), by_parts)
+
+
+def _found(text: Column) -> Column:
+    """The entities of a text in its order, names with their titles; none for null."""
+    all_ = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    return F.coalesce(F.when(text.contains("@"), all_(ANY)).otherwise(all_(PLAIN)), F.array().cast("array<string>"))
+
+
+def known_entities(found: DataFrame) -> DataFrame:
+    """The distinct (kind, norm) and their number in rows with the array ``found``; counted before they are shuffled."""
+    return found.select(F.explode("found").alias("e")).select(F.inline(units(F.col("e")))).groupBy("kind", "norm").agg(F.count("*").alias("n"))
 
 
 def entities(df: DataFrame, text_col: str) -> DataFrame:
-    """The distinct (kind, norm) of all texts; counted before they are shuffled."""
-    found = df.select(F.explode(F.regexp_extract_all(F.col(text_col), F.lit(ANY), F.lit(0))).alias("e"))
-    return found.select(F.inline(units(F.col("e")))).groupBy("kind", "norm").agg(F.count("*").alias("n"))
+    """The distinct (kind, norm) of all texts."""
+    return known_entities(df.select(_found(F.col(text_col)).alias("found")))
+
+
+def one_gender(known: DataFrame) -> DataFrame:
+    """kind, norm, as_kind of given names that stand under several genders; as_kind is what all of them follow."""
+    given = known.where("kind LIKE 'given|%'").withColumn("script", F.substring_index("kind", "|", -1))
+    vote = F.struct((~F.col("kind").startswith("given|n")).alias("told"), "n", F.col("kind").startswith("given|f").alias("female"), "kind")
+    best = given.groupBy("script", "norm").agg(F.max(vote)["kind"].alias("as_kind"), F.count("*").alias("kinds")).where("kinds > 1")
+    return given.join(best, ["script", "norm"]).where("kind != as_kind").select("kind", "norm", "as_kind")
 
 
-def overrides(known: DataFrame, key: str) -> DataFrame | None:
-    """kind, norm, canon of the norms whose first surrogate another norm has, or is."""
-    todo, settled = known.select("kind", "norm"), []
-    norms = known.select("kind", F.col("norm").alias("low"))
-    for attempt in range(ROUNDS + 1):
+def overrides(known: DataFrame, key: str) -> DataFrame:
+    """kind, norm, canon of the norms whose first surrogate another norm has, or is, or whose kind another takes over."""
+    led = materialise(one_gender(known), "genders")
+    todo = materialise(known.join(led, ["kind", "norm"], "left_anti").select("kind", "norm"), "norms")
+    norms, settled, idle, attempt = known.select("kind", F.col("norm").alias("low")).distinct(), [], 0, 0
+    while not todo.isEmpty():
         canon = surrogate(F.col("kind"), F.col("norm"), F.lit(attempt), key)
-        if attempt == ROUNDS:  # a space that is full: distinctness comes before format
+        if idle >= STUCK:  # a space that is full: distinctness comes before format
             canon = F.concat(canon, F.lit("-"), F.sha2(F.concat_ws("\0", F.lit(key), "kind", "norm").cast("binary"), 256))
         tried = todo.withColumn("canon", canon).withColumn("low", F.lower("canon"))
         free = tried.join(norms, ["kind", "low"], "left_anti")
         for before in settled:
             free = free.join(before.select("kind", F.lower("canon").alias("low")), ["kind", "low"], "left_anti")
         won = free.groupBy("kind", "low").agg(F.min(F.struct("norm", "canon")).alias("x")).select("kind", "x.norm", "x.canon")
-        settled.append(materialise(won, "surrogates"))
-        todo = materialise(todo.join(settled[-1], ["kind", "norm"], "left_anti"), "collided")
-        if todo.isEmpty():
-            break
-    later = settled[1:]
-    for more in later[1:]:
-        later = [later[0].unionByName(more)]
-    return later[0] if later else None
-
-
-def pseudonymised(df: DataFrame, text_col: str, key: str = "tessera", counts: bool = True) -> DataFrame:
-    """``df`` with its texts rewritten and, if ``counts``, the entities of each kind in n_<kind>."""
-    known = materialise(entities(df, text_col), "entities")
-    extra, text = overrides(known, key), F.col(text_col)
-    rows = df
-    if extra is not None:
-        of_text = df.where(text.isNotNull()).select(F.md5(text).alias("_text"), F.explode(F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("e"))
-        of_text = of_text.select("_text", F.inline(units(F.col("e")))).distinct().join(extra, ["kind", "norm"])
-        pairs = F.collect_list(F.struct(_unit_key(F.col("kind"), F.col("norm")).alias("k"), F.col("canon").alias("v")))
-        maps = materialise(of_text.groupBy("_text").agg(F.map_from_entries(pairs).alias("_overrides")), "overrides")
-        rows = df.withColumn("_text", F.md5(text)).join(maps, "_text", "left").drop("_text")
-        other = F.coalesce("_overrides", F.create_map().cast("map<string,string>"))
-    else:
-        other = None
+        won = materialise(won, "surrogates")
+        idle = idle + 1 if won.isEmpty() else 0
+        settled.append(won)
+        todo, attempt = materialise(todo.join(won, ["kind", "norm"], "left_anti"), "collided"), attempt + 1
+        if len(settled) > 8:  # few tables to look into, whatever the number of rounds
+            settled = [settled[0], materialise(_union(settled[1:]), "surrogates")]
+    if not settled:
+        return known.select("kind", "norm", F.lit("").alias("canon"))
+    first = settled[0]
+    later = _union(settled[1:]) if settled[1:] else first.where("false")
+    leaders = led.select(F.col("as_kind").alias("kind"), "norm").distinct()
+    lead = first.unionByName(later).join(leaders, ["kind", "norm"], "left_semi").withColumnRenamed("kind", "as_kind")
+    return materialise(later.unionByName(led.join(lead, ["as_kind", "norm"]).select("kind", "norm", "canon")), "overrides")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for more in frames[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def pseudonymised(df: DataFrame, text_col: str, key: str, counts: bool = True) -> DataFrame:
+    """``df`` with its texts rewritten under ``key`` and, if ``counts``, the entities of each kind in n_<kind>.
+
+    Whoever has the key can tell which original a surrogate stands for, by trying; keep it secret.
+    """
+    text = F.col("row").getField(text_col)
+    rows = df.select(F.struct("*").alias("row"), _found(F.col(text_col)).alias("found"))
+    rows = materialise(rows, "found")
+    plain, marked = rows.where("size(found) = 0"), rows.where("size(found) > 0")
+    extra = overrides(materialise(known_entities(marked.select("found")), "entities"), key)
+    people = F.flatten(F.transform(F.filter("found", _titled), lambda e: units(e)))
+    names = F.array_distinct(F.flatten(F.transform(F.filter("found", _titled), _name_parts)))
+    names = F.array_distinct(F.concat(names, F.transform(names, F.initcap), F.transform(names, F.upper)))
+    mention = F.concat(F.lit(ANY + r"|(?<![\p{L}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?!\p{L})"))
+    marked = marked.select("row", people.alias("people"), F.when(F.size(names) > 0, mention).otherwise(F.lit(ANY)).alias("pattern"), F.md5(text).alias("of"), "found")
+    used = marked.select("of", F.explode(F.flatten(F.transform("found", lambda e: units(e)))).alias("u")).distinct()
+    used = used.select("of", "u.kind", "u.norm").join(extra, ["kind", "norm"])
+    pairs = F.collect_list(F.struct(_unit_key(F.col("kind"), F.col("norm")).alias("k"), F.col("canon").alias("v")))
+    maps = materialise(used.groupBy("of").agg(F.map_from_entries(pairs).alias("other")), "maps")
+    marked = marked.drop("found").join(maps, "of", "left")
+    other = F.coalesce("other", F.create_map().cast("map<string,string>"))
 
     def replaced(found: Column) -> Column:
-        new = F.transform(found, lambda e: rewritten(e, key, other))
-        parts = F.split(text, ANY, -1)
+        new = F.transform(found, lambda e: rewritten(e, key, F.col("people"), other))
+        parts = F.split(text, F.col("pattern"), -1)
         whole = _let(new, lambda s: F.array_join(F.transform(parts, lambda p, i: F.concat(p, F.coalesce(F.get(s, i), F.lit("")))), ""))
-        kinds = F.transform(found, kind_of)
-        return F.struct(F.when(F.size(found) == 0, text).otherwise(whole).alias("_new"), kinds.alias("_kinds"))
+        return F.struct(whole.alias("new"), F.transform(found, kind_of).alias("kinds"))
 
     # Generating the result keeps the work from being repeated for every use of it.
-    found = F.coalesce(F.regexp_extract_all(text, F.lit(ANY), F.lit(0)), F.array().cast("array<string>"))
-    out = rows.select("*", F.inline(F.transform(F.array(found), replaced)))
-    number = lambda kind: F.size(F.filter("_kinds", lambda k: k == kind)).alias(f"n_{kind}")
+    found = F.regexp_extract_all(text, F.col("pattern"), F.lit(0))
+    done = marked.select("row", F.inline(F.transform(F.array(found), replaced)))
+    done = done.unionByName(plain.select("row", text.alias("new"), F.array().cast("array<string>").alias("kinds")))
+    number = lambda kind: F.size(F.filter("kinds", lambda k: k == kind)).alias(f"n_{kind}")
     numbers = [number(kind) for kind in KINDS] if counts else []
     taken = {f"n_{kind}" for kind in KINDS} if counts else set()
-    return out.select(*[F.col("_new").alias(c) if c == text_col else F.col(c) for c in df.columns if c not in taken], *numbers)
+    return done.select(*[F.col("new").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in df.columns if c not in taken], *numbers)
