@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -209,28 +210,112 @@ def test_common_lines(a, b):
     ],
 )
 def test_single_pages(html, text):
-    assert htmltext.main_text(htmltext.page_lines(html), None) == text
+    assert htmltext.main_text(htmltext.page_lines(html)[1]) == text
+
+
+def brute_texts(rows):
+    """Mates by looking at all pages, alignments by the plain table; a page's hash stands for the page."""
+    held = []
+    for r in rows:
+        head, lines = htmltext.page_lines(r["html"])
+        m = re.match(r"[A-Za-z][\w+.-]*://(?:[^/?#@]*@)?([^/?#:]*)[^/?#]*([^?#]*)", r["url"] or "")
+        host, path = (m[1].lower(), m[2]) if m else ("", "")
+        batch = pa.RecordBatch.from_pylist([{"key": hashlib.md5(((r["url"] or "") + "\n" + (r["html"] or "")).encode()).digest(), "host": host, "path": path, "html": r["html"] or ""}])
+        outline = next(htmltext._outlined(iter([batch]))).to_pylist()[0]
+        held.append((outline["page"], head, host, [x for x in path.split("/") if x][:-1], lines, r["page_id"]))
+    out = collections.Counter()
+    for page, head, host, steps, lines, page_id in held:
+        chosen, gone = htmltext.article_of(lines), set()
+        for line in {x for x, place in lines if place != chosen}:
+            found = []
+            for other, _, host2, steps2, lines2, _ in held:
+                if host2 == host and other != page and any(x == line and place != htmltext.article_of(lines2) for x, place in lines2):
+                    common = 0
+                    while common < min(len(steps), len(steps2)) and steps[common] == steps2[common]:
+                        common += 1
+                    found.append((other >> 32 == page >> 32, -common, other))
+            # Of each depth only the least and the greatest hash of its group count, the page's own included.
+            best = None
+            for depth in range(len(steps), -1, -1):
+                group = sorted([f[2] for f in found if -f[1] >= depth] + [page])
+                least, most = group[0], group[-1]
+                if least == most:
+                    continue
+                mate = next((x for x in (least, most) if x >> 32 != page >> 32), None) or (least if least != page else most)
+                best = min(best or (2,), (mate >> 32 == page >> 32, -depth, mate))
+            if best is None:
+                continue
+            mate = next(h for h in held if h[0] == best[2])
+            a, b = [x for x, _ in lines], [x for x, _ in mate[4]]
+            table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+            n = table[-1][-1]
+            if best[0] and (2 * n >= len(a) if head else n in (len(a), len(b))):
+                continue
+            gone |= set(htmltext.common_lines(a, b))
+        out[page_id, " ".join(x for i, (x, place) in enumerate(lines) if place > -2 and (place == chosen or i not in gone))] += 1
+    return out
+
+
+def page_texts(df):
+    return collections.Counter((r["page_id"], r["text"]) for r in htmltext.article_texts(df, "page_id", "url", "html").collect())
 
 
 def test_differencing(spark):
-    page = "<div>Site name</div><div>{}</div><div>Only here {}</div><div>All rights reserved</div>"
-    rows = [(i, f"http://h.example/a/{i}", page.format("Today", "words " * 20 + str(i))) for i in range(40)]
-    rows += [(100, "http://h.example/z", "<p>Site name</p><p>x</p>"), (101, "not a url", "<p>alone</p>"), (102, None, None), (103, "http://copy.example/1", page.format("a", "b")), (103, "http://copy.example/1", page.format("a", "b"))]
-    df = spark.createDataFrame(rows, "page_id int, url string, html string").repartition(5)
-    got = collections.defaultdict(list)
-    for r in htmltext.article_texts(df, "page_id", "url", "html").collect():
-        got[r["page_id"]].append(r["text"])
-    assert all(got[i] == ["Only here " + "words " * 20 + str(i)] for i in range(40))
-    assert got[101] == ["alone"] and got[102] == [""] and got[103] == ["Site name a Only here b All rights reserved"] * 2
-    assert sum(map(len, got.values())) == len(rows)
-    assert htmltext.article_texts(df.limit(0), "page_id", "url", "html").count() == 0
+    page = "<title>T{1}</title><div>Site name</div><div>{0}</div><div>Only here {1}</div><div>All rights reserved, and so much of a template that it is longer than any article here</div>"
+    rows = [(i, f"http://h.example/a/{i}", page.format("Today", "words " * 5 + str(i))) for i in range(40)]
+    rows += [(100, "http://h.example/z", "<p>Site name</p><p>x</p>"), (101, "not a url", "<p>alone</p>"), (102, None, None), (103, "http://copy.example/1", page.format("a", "b")), (103, "http://copy.example/1", page.format("a", "b")), (104, "http://copy.example/2", page.format("a", "b"))]
+    rows += [(105, "http://bare.example/1", "<p>Menu</p><p>one</p>"), (106, "http://bare.example/2", "<p>Menu</p><p>two</p>")]
+    df = spark.createDataFrame(rows, "page_id int, url string, html string")
+    got = page_texts(df.repartition(5))
+    assert got == page_texts(df.coalesce(1)) == page_texts(df.repartition(13)) == brute_texts(df.collect())
+    assert all(got[i, "Only here " + "words " * 5 + str(i)] == 1 for i in range(40))
+    assert got[100, "x"] == got[101, "alone"] == got[102, ""] == got[105, "one"] == got[106, "two"] == 1
+    assert [n for (i, t), n in got.items() if i == 103 and t.startswith("Site name a Only here b")] == [2]
+    assert page_texts(df.limit(0)) == {}
+    clash = df.selectExpr("page_id", "url", "html", *[f"'x' AS `{c}`" for c in ("row", "key", "host", "path", "gone", "id", "text", "lines", "a.b")])
+    assert page_texts(clash) == got
 
 
 def test_differencing_decides_on_marked_pages(spark):
-    page = "<div>Site name</div><div>By author {0}</div><article><h1>Head {0}</h1><p>A passage of both</p></article><div>All rights reserved</div>"
+    page = "<title>Page {0}</title><div>Site name</div><div>By author {0}</div><article><h1>Head {0}</h1><p>A passage of both</p></article><div>All rights reserved</div>"
     df = spark.createDataFrame([(i, f"http://h.example/a/{i}", page.format(i)) for i in range(6)], "page_id int, url string, html string")
-    got = {r["page_id"]: r["text"] for r in htmltext.article_texts(df, "page_id", "url", "html").collect()}
-    assert got == {i: f"By author {i} Head {i} A passage of both" for i in range(6)}
+    assert page_texts(df) == {(i, f"By author {i} Head {i} A passage of both"): 1 for i in range(6)} == brute_texts(df.collect())
+
+
+def stripped(html):
+    """The page without what marks an article or an advert."""
+    return re.sub(r"</?article>|</?main>", "", html).replace(' class="ad"', "")
+
+
+def test_differencing_of_the_table_without_marks(spark, small):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    rows = [(r["page_id"], r["url"], stripped(r["html"])) for r in pages.collect()]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert page_texts(df) == brute_texts(df.collect())
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=14), st.lists(st.sampled_from("abcd"), max_size=14))
+def test_halved_alignments(a, b):
+    whole = len(htmltext.common_lines(a, b))
+    bits, htmltext.TABLE_BITS = htmltext.TABLE_BITS, 4
+    try:
+        found = htmltext.common_lines(a, b)
+    finally:
+        htmltext.TABLE_BITS = bits
+    rest = iter(b)
+    assert len(found) == whole and all(a[i] in rest for i in found) and found == sorted(set(found))
+
+
+def test_long_pages():
+    n = 300_000
+    for text in ("<a " * n, "<p>" * n, "<b>" * n + "</i>" * n, "<b>" * n + "<h2>" * n, "<a '\">" * n, "</" * n, "&amp;" * n, "<script>" * n, "<!--" * n, "<li>x" * n):
+        htmltext.main_text(htmltext.page_lines(text)[1])
+    lines = [f"line {i}" for i in range(20_000)]
+    assert len(htmltext.common_lines(lines, lines[::2] + lines[::-1])) >= 10_000
 
 
 def test_pages_table(spark, small):
