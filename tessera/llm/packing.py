@@ -7,16 +7,23 @@ form a *run*, so the plan stays small too. Pieces find their place by their rank
 within their length, which two levels of counts give without one large sort.
 
 Null text counts as empty: such a document is one piece that holds only the end id.
-Repeated rows, ids included, are packed once each. Other columns are ignored; an
-empty table gives an empty result.
+Repeated rows, ids included, are packed once each. Pieces of one length are told apart by
+nothing but their rank by (id, piece, CRC), so equal pieces may change places. Other columns
+are ignored, whatever their names; an empty table gives an empty result.
+
+Fewest bins is a hard problem: the plan is proven to be the least where it meets
+``lower_bound``; else the search ends after ``SEARCH_STEPS`` with the best plan found, which
+is a whole packing and never has more bins than best fit.
 """
 
 from __future__ import annotations
 
 import zlib
 from array import array
+from bisect import bisect_right
 from collections.abc import Iterator
-from itertools import accumulate
+from itertools import product
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -26,12 +33,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bpe import PRETOKEN, BpeEncoder, slices, texts_of
 from .shared import hash_bucket, materialise
 
-#: Parts of the ranks of one length, so that no task holds a whole length.
+#: Parts of the ranks of one length, at least; with more pieces than its square, as many as the square root of their number.
 RANK_BUCKETS = 256
-#: Fillings that the search looks at for one bin before it keeps the best so far.
-FILLING_NODES = 20_000
-#: Steps of the search over bins before the best plan so far is taken.
-SEARCH_NODES = 200_000
+#: Bins aimed at, by how far they lie between the bound and best fit, and how much more than its share of the free space a bin may then waste.
+AIMS, GENEROUS = (1 / 8, 1 / 4, 1 / 2), (1, 1.5, 2, 2.5, 5)
+#: Steps (a length looked at) of the search over bins before the best plan so far is taken.
+SEARCH_STEPS = 2_000_000
 
 
 class WordEncoder(BpeEncoder):
@@ -84,52 +91,44 @@ def token_pieces(df: DataFrame, id_col: str, text_col: str, tokenizer: str, end_
     return rows.mapInArrow(work, f"id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
-def best_filling(counts: dict[int, int], room: int, nodes: int = FILLING_NODES) -> tuple[int, ...]:
-    """The undominated filling of ``room`` with least waste, lengths falling.
+def best_filling(counts: dict[int, int], room: int, slack: int = 0) -> tuple[int, ...]:
+    """Of the fillings of ``room`` that waste at most ``slack`` more than the fullest, the one of the largest lengths; lengths falling.
 
-    Fillings are tried with larger lengths first: a filling that replaces a length by
-    smaller ones is dominated unless it wastes less. A branch ends when the rest of the
-    room cannot beat the incumbent, and the search ends at no waste or ``nodes`` steps;
-    the first filling tried is the best-fit one, so the incumbent is never worse.
+    Sums that can be reached are bits of one number, to which lengths are added from the
+    smallest on (a length that is there n times as 1, 2, 4, ... of it, up to n). So the fullest
+    sum is exact, at a cost of one shift for each length and power of two.
     """
-    sizes = sorted((s for s in counts if counts[s] > 0), reverse=True)
-    best, best_waste, seen = (), room + 1, 0
-    smallest = sizes[-1] if sizes else room + 1
-    after = [*accumulate(s * counts[s] for s in reversed(sizes))][::-1]
-
-    def search(at: int, room_left: int, taken: list[int], left: dict[int, int]) -> None:
-        nonlocal best, best_waste, seen
-        seen += 1
-        if room_left < best_waste:
-            best, best_waste = tuple(taken), room_left
-        if best_waste == 0 or seen > nodes or room_left < smallest:
-            return
-        while at < len(sizes) and sizes[at] > room_left:
-            at += 1
-        for i in range(at, len(sizes)):
-            s = sizes[i]
-            if room_left - after[i] >= best_waste:
-                return  # all lengths from here on together fill too little
-            if left.get(s, counts[s]) <= 0:
-                continue
-            left[s] = left.get(s, counts[s]) - 1
-            search(i, room_left - s, [*taken, s], left)
-            left[s] += 1
-            if best_waste <= 0 or seen > nodes:
-                return
-
-    search(0, room, [], {})
-    return best
+    parts = []
+    for s in sorted(s for s, n in counts.items() if n > 0 and s <= room):
+        n, k = min(counts[s], room // s), 1
+        while n > 0:
+            k = min(k, n)
+            parts.append((s * k, s, k))
+            n, k = n - k, 2 * k
+    reach, before, full = 1, [], (1 << room + 1) - 1
+    for weight, _, _ in parts:
+        before.append(reach)
+        reach |= reach << weight & full
+    high = room
+    low = max(0, reach.bit_length() - 1 - slack)
+    taken: list[int] = []
+    for (weight, s, k), sums in zip(reversed(parts), reversed(before)):
+        # Taken if smaller lengths can still bring the sum between low and high.
+        if weight <= high and sums & (1 << high - weight + 1) - (1 << max(0, low - weight)):
+            taken += [s] * k
+            high, low = high - weight, max(0, low - weight)
+    return tuple(taken)
 
 
 def fillings(counts: dict[int, int], room: int, steps: list[int]) -> Iterator[tuple[int, ...]]:
     """The fullest filling, then all others that no exchange of one length for a longer one left over betters.
 
-    Each step takes one from ``steps[0]``; none are found when that is used up.
+    Each length looked at takes one from ``steps[0]``; none are found when that is used up.
     """
     first = best_filling(counts, room)
-    yield first
     sizes = sorted((s for s, n in counts.items() if n > 0 and s <= room), reverse=True)
+    steps[0] -= len(sizes)
+    yield first
     stack: list[tuple[int, int, tuple[int, ...]]] = [(0, room, ())]
     while stack and steps[0] > 0:
         steps[0] -= 1
@@ -139,14 +138,28 @@ def fillings(counts: dict[int, int], room: int, steps: list[int]) -> Iterator[tu
         if i < len(sizes):
             s = sizes[i]
             stack += [(i + 1, left - k * s, taken + (s,) * k) for k in range(min(counts[s], left // s) + 1)]
-        elif taken != first and not any(x < u <= x + left and counts[u] > taken.count(u) for x in {0, *taken} for u in sizes):
-            yield taken
+        elif taken != first:
+            steps[0] -= len(sizes)
+            if not any(x < u <= x + left and counts[u] > taken.count(u) for x in {0, *taken} for u in sizes):
+                yield taken
+
+
+def lower_bound(histogram: dict[int, int], capacity: int) -> int:
+    """Bins that any packing needs: for each k, lengths over capacity - k are alone, those over half apart, and the rest of at least k fills what is left."""
+    best, sizes = 0, sorted(s for s, n in histogram.items() if n > 0)
+    for k in {0, *(s for s in sizes if 2 * s <= capacity)}:
+        alone = sum(histogram[s] for s in sizes if s > capacity - k)
+        apart = {s: histogram[s] for s in sizes if 2 * s > capacity and s <= capacity - k}
+        rest = sum(s * histogram[s] for s in sizes if k <= s and 2 * s <= capacity)
+        room = sum((capacity - s) * n for s, n in apart.items())
+        best = max(best, alone + sum(apart.values()) + max(0, -(-(rest - room) // capacity)))
+    return best
 
 
-def search_bins(histogram: dict[int, int], capacity: int, most_bins: int, nodes: int = SEARCH_NODES) -> list[tuple[tuple[int, ...], int]] | None:
+def search_bins(histogram: dict[int, int], capacity: int, most_bins: int, least: int, nodes: int = SEARCH_STEPS) -> list[tuple[tuple[int, ...], int]] | None:
     """The fewest bins below ``most_bins``, deepest first; None if there are none or ``nodes`` steps find none."""
     total = sum(s * n for s, n in histogram.items())
-    least, steps, best = -(-total // capacity), [nodes], None
+    steps, best = [nodes], None
     left, runs, waste, bins = {s: n for s, n in histogram.items() if n > 0}, [], 0, 0
 
     def choices() -> Iterator[tuple[tuple[int, ...], int]]:
@@ -183,55 +196,75 @@ def search_bins(histogram: dict[int, int], capacity: int, most_bins: int, nodes:
     return best
 
 
+def best_fit(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
+    """Best-fit decreasing, bin by bin: the largest length that fits, again and again."""
+    left, runs = sorted((s, n) for s, n in histogram.items() if n > 0), []
+    sizes, counts = [s for s, _ in left], dict(left)
+    while sizes:
+        bin_, room, times, at = [], capacity, counts[sizes[-1]], len(sizes)
+        while at := bisect_right(sizes, room, 0, at):
+            s = sizes[at - 1]
+            k = min(counts[s], room // s)
+            bin_ += [s] * k
+            room, times, at = room - k * s, min(times, counts[s] // k), at - 1
+        for s in set(bin_):
+            counts[s] -= times * bin_.count(s)
+        sizes = [s for s in sizes if counts[s]]
+        runs.append((tuple(bin_), times))
+    return runs
+
+
+def complete(histogram: dict[int, int], capacity: int, most_bins: int, bins_aimed: int, generous: float) -> list[tuple[tuple[int, ...], int]] | None:
+    """Bins completed around the largest length left; None as soon as they can't be fewer than ``most_bins``.
+
+    Each bin may waste ``generous`` times its share of what ``bins_aimed`` bins would leave free
+    in all; the more it may, the larger are the lengths it takes.
+    """
+    left, runs, bins, waste = {s: n for s, n in histogram.items() if n > 0}, [], 0, 0
+    total = sum(s * n for s, n in histogram.items())
+    while left:
+        first = max(left)
+        left[first] -= 1
+        share = (bins_aimed * capacity - total - waste) / max(1, bins_aimed - bins)
+        fill = best_filling(left, capacity - first, max(0, int(generous * share)))
+        left[first] += 1
+        bin_ = tuple(sorted((first, *fill), reverse=True))
+        times = min(left[s] // bin_.count(s) for s in set(bin_))
+        for s in bin_:
+            left[s] -= times
+            if not left[s]:
+                del left[s]
+        runs.append((bin_, times))
+        bins, waste = bins + times, waste + times * (capacity - sum(bin_))
+        if left and -(-(total + waste) // capacity) >= most_bins:
+            return None
+    return runs if bins < most_bins else None
+
+
 def plan_bins(histogram: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Bins as (lengths, how many such bins), few bins in all.
 
     Best-fit decreasing gives the incumbent. Bin completion fills around the largest length
     left, as often as the filling can be had, and stops as soon as the waste so far allows
-    no fewer bins than the incumbent has. Where that leaves more bins than the sum of lengths
-    needs, ``search_bins`` goes back to the other fillings.
+    no fewer bins than the incumbent has; plans that let a bin waste its share take large
+    lengths early and keep small ones for the end. Where that leaves more bins than ``lower_bound``
+    proves needed, ``search_bins`` goes back to the other undominated fillings.
     """
-    total = sum(s * n for s, n in histogram.items())
-    least = -(-total // capacity)
-
-    def complete(search: bool, most_bins: float) -> list[tuple[tuple[int, ...], int]] | None:
-        left, runs, bins, waste = {s: n for s, n in histogram.items() if n > 0}, [], 0, 0
-        while left:
-            first = max(left)
-            left[first] -= 1
-            if search:
-                fill = best_filling(left, capacity - first)
-            else:
-                fill, room = [], capacity - first
-                trial = dict(left)
-                while fits := [s for s, n in trial.items() if n > 0 and s <= room]:
-                    fill.append(max(fits))
-                    trial[fill[-1]] -= 1
-                    room -= fill[-1]
-            left[first] += 1
-            bin_ = tuple(sorted((first, *fill), reverse=True))
-            times = min(left[s] // bin_.count(s) for s in set(bin_))
-            for s in bin_:
-                left[s] -= times
-                if not left[s]:
-                    del left[s]
-            runs.append((bin_, times))
-            bins += times
-            waste += times * (capacity - sum(bin_))
-            if least + waste // capacity >= most_bins and left:
-                return None
-        return runs
-
-    incumbent = complete(False, float("inf"))
-    size = sum(n for _, n in incumbent)
-    if size > least and (better := complete(True, size)) and sum(n for _, n in better) < size:
-        incumbent, size = better, sum(n for _, n in better)
-    return size > least and search_bins(histogram, capacity, size) or incumbent
+    count = lambda runs: sum(n for _, n in runs)
+    least, best = lower_bound(histogram, capacity), best_fit(histogram, capacity)
+    between = count(best) - least
+    for aim, generous in [(0, 0), *product(AIMS, GENEROUS)]:
+        if count(best) > least and (better := complete(histogram, capacity, count(best), least - int(-aim * between // 1), generous)):
+            best = better
+    if count(best) > least and (better := search_bins(histogram, capacity, count(best), least)):
+        best = better
+    return best
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
     """Add sequence_id and offset to rows of (id, piece, start, length, ids_crc32)."""
-    bucket = hash_bucket(RANK_BUCKETS, "id", "piece", "ids_crc32")
+    # So neither a bucket nor the list of a length's buckets becomes large.
+    bucket = hash_bucket(max(RANK_BUCKETS, isqrt(pieces.count())), "id", "piece", "ids_crc32")
     pieces = pieces.withColumn("bucket", bucket)
     counts = pieces.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     histogram = {int(r["length"]): int(r["n"]) for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect()}

@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import random
 import zlib
 
 import numpy as np
@@ -97,6 +98,9 @@ def test_packing(docs, odd, empty):
         found = packing.packed_documents(df, "doc_id", "text", TOKENIZER, capacity=capacity).collect()
         bins, least = check_packing(df.collect(), found, capacity)
         assert bins <= least * 1.02 + 1
+    clash = docs.select("doc_id", "text", *[docs["lang"].alias(c) for c in ("id", "piece", "bucket", "length", "rank", "n", "a.b")])
+    assert packing.packed_documents(clash, "doc_id", "text", TOKENIZER).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert token_digests(clash, "doc_id", "text", TOKENIZER).columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
     assert packing.packed_documents(empty, "doc_id", "text", TOKENIZER).count() == 0
 
 
@@ -124,6 +128,43 @@ def test_plans_go_back_to_other_fillings():
     assert sorted(s for b, n in plan for s in b * n) == sorted(lengths)
 
 
+def test_plans_beat_best_fit_on_hard_lengths():
+    for seed, bins in enumerate((106, 109, 107, 110)):  # best fit: 111, 114, 112, 114
+        rnd = random.Random(seed)
+        histogram = dict(collections.Counter(rnd.randint(200, 519) for _ in range(300)))
+        plan = plan_bins(histogram, 1024)
+        assert packing.lower_bound(histogram, 1024) <= sum(n for _, n in plan) <= bins < sum(n for _, n in packing.best_fit(histogram, 1024))
+    assert sum(n for _, n in plan_bins({2: 200_000, 2049: 2000}, 4096)) == 2000 == packing.lower_bound({2: 200_000, 2049: 2000}, 4096)
+
+
+def fewest(lengths, room):
+    """The fewest bins, by trying all."""
+    best = len(lengths)
+
+    def put(i, bins):
+        nonlocal best
+        if len(bins) >= best and i < len(lengths) or len(bins) > best:
+            return
+        if i == len(lengths):
+            best = min(best, len(bins))
+            return
+        for k in range(len(bins)):
+            if bins[k] + lengths[i] <= room and bins[k] not in bins[:k]:
+                put(i + 1, [*bins[:k], bins[k] + lengths[i], *bins[k + 1 :]])
+        put(i + 1, [*bins, lengths[i]])
+
+    put(0, [])
+    return best
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.integers(1, 30), max_size=9))
+def test_small_plans_are_the_least(lengths):
+    histogram = dict(collections.Counter(lengths))
+    plan = plan_bins(histogram, 30)
+    assert packing.lower_bound(histogram, 30) <= sum(n for _, n in plan) == fewest(sorted(lengths, reverse=True), 30)
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.dictionaries(st.integers(1, 15), st.integers(1, 3), max_size=6), st.integers(0, 30))
 def test_fillings_are_the_fullest(counts, room):
