@@ -15,11 +15,13 @@ change places; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from math import ceil, log2
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .shared import materialise
 
-#: Parts of one source's ranks, and of all places.
+#: Parts of one source's ranks, and of all places, at least: with more rows they grow with the root of their number.
 RANK_BUCKETS, PLACE_BUCKETS = 1024, 4096
 
 
@@ -35,7 +37,10 @@ def stratified_shards(df: DataFrame, id_col: str, text_col: str, source_col: str
     text = F.coalesce(F.col(text_col), F.lit(""))
     row = F.col(id_col)
     rows = df.select(row.alias("id"), source.alias("source"), _hash(seed, row).alias("h"), (F.octet_length(text) + overhead).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("crc"))
-    rows = rows.withColumn("bucket", F.shiftright("h", 60 - (RANK_BUCKETS.bit_length() - 1)).cast("int"))
+    root = df.count() ** 0.5
+    bits = max(RANK_BUCKETS.bit_length() - 1, ceil(log2(root + 1)))
+    places = max(PLACE_BUCKETS, ceil(root))
+    rows = rows.withColumn("bucket", F.shiftright("h", 60 - bits).cast("int"))
     # The counts need no text, so this scan reads two columns.
     counts = rows.groupBy("source", "bucket").agg(F.count("*").alias("n"))
     of_source = Window.partitionBy("source")
@@ -45,8 +50,8 @@ def stratified_shards(df: DataFrame, id_col: str, text_col: str, source_col: str
     ranked = rows.withColumn("rank", F.row_number().over(inside)).join(counts, ["source", "bucket"])
     shift = (_hash(seed + 1, F.col("source")) % F.lit(1_000_003) + 0.5) / F.lit(1_000_003.0)
     ranked = ranked.select("id", "size", "crc", "source", "h", ((F.col("before") + F.col("rank") - shift) / F.col("of")).alias("place"))
-    ranked = materialise(ranked.withColumn("part", F.least(F.floor(F.col("place") * PLACE_BUCKETS), F.lit(PLACE_BUCKETS - 1)).cast("int")), "places")
-    # PLACE_BUCKETS rows at most, whatever the input.
+    ranked = materialise(ranked.withColumn("part", F.least(F.floor(F.col("place") * places), F.lit(places - 1)).cast("int")), "places")
+    # One row for each part, the root of the input's number or PLACE_BUCKETS.
     parts = ranked.groupBy("part").agg(F.count("*").alias("n"))
     parts = parts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"), F.sum("n").over(Window.partitionBy()).alias("total"))
     inside = Window.partitionBy("part").orderBy("place", "source", "h", "id", "crc", "size")
