@@ -159,11 +159,10 @@ def labelled_features(scored: DataFrame, labels: DataFrame, id_col: str = "doc_i
 def kept_documents(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """The rows and columns of ``docs`` that the rules keep.
 
-    Scores for fitting are written without the texts, so no text is shuffled to meet its label;
-    the verdict scores the documents again as they pass.
+    Documents are scored once and written with their scores. Of these the fit reads ids and
+    scores only, so no text is shuffled to meet its label.
     """
-    of = stratum(F.col(lang_col)).alias("stratum")
-    scored = materialise(with_features(docs, text_col, F.col(id_col).alias("_row_id"), of), "scored")
-    cutoffs = fit_cutoffs(labelled_features(scored, labels, "_row_id"))
-    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"), of)
-    return with_verdict(with_features(rows, "_text", F.col("_doc"), F.col("stratum")), cutoffs).where("kept").select("_doc.*")
+    rows = docs.select(F.struct("*").alias("_doc"), F.col(text_col).alias("_text"), stratum(F.col(lang_col)).alias("stratum"))
+    scored = materialise(with_features(rows, "_text", F.col("_doc"), F.col("stratum")), "scored")
+    cutoffs = fit_cutoffs(labelled_features(scored.withColumn("_row_id", F.col("_doc").getField(id_col)), labels, "_row_id"))
+    return with_verdict(scored, cutoffs).where("kept").select("_doc.*")
