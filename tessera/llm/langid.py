@@ -11,9 +11,10 @@ the penalty, staying is the best path, which prefix sums show without going word
 
 The model is fitted on a hash sample of about ``FIT_DOCS`` labelled documents; its size
 does not depend on the corpus. Null texts and texts without a letter are "und" with score
-0; without any labelled text everything is "und". Null languages are not learned from;
-repeated rows count as often as they come; other columns are ignored; an empty table
-gives an empty result.
+0; without any labelled text everything is "und". Null languages are not learned from, nor
+any beyond the ``LANGUAGES`` that most of the sampled rows have; repeated rows count as often
+as they come; other columns are ignored, whatever their names; of languages with equal scores
+the first by name is taken; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,12 +24,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .bpe import slices
 from .neardup import text_buffer
 
 FIT_DOCS, ORDERS, BITS, SMOOTH, PENALTY, SCRIPT_SHARE = 20_000, (2, 3, 4), 17, 0.5, 16.0, 0.002
+#: Languages that a model has at most, which bounds what comes to the driver and goes to executors.
+LANGUAGES = 64
 ODD = np.uint32(2654435761)
 #: Lead bytes of UTF-8 (inclusive) of the letters of a script.
 SCRIPTS = {"latin": ((0x41, 0x5A), (0x61, 0x7A), (0xC2, 0xCA)), "greek": ((0xCD, 0xCF),), "cyrillic": ((0xD0, 0xD4),), "armenian_hebrew": ((0xD5, 0xD7),), "arabic": ((0xD8, 0xDD),), "indic": ((0xE0, 0xE0),), "asian": ((0xE1, 0xED),), "other": ((0xCB, 0xCC), (0xDE, 0xDF), (0xEE, 0xF4))}
@@ -155,6 +158,8 @@ def fit(df: DataFrame, text_col: str, lang_col: str, key: Column, docs: int = FI
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(slot)), pa.array(slot, pa.int32()), pa.array(c[slot], pa.int64())], names=["lang", "slot", "n"])
 
     rows = sample.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
+    often = [r["lang"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()]
+    rows = rows.where(F.col("lang").isin(often))
     # A slot for each hash and language, so what comes to the driver is bounded.
     table = rows.mapInArrow(work, "lang string, slot int, n long").groupBy("lang", "slot").agg(F.sum("n").alias("n")).toArrow()
     lang, slot, n = (table.column(c).to_numpy() for c in ("lang", "slot", "n"))
@@ -178,9 +183,9 @@ def labelled_spans(df: DataFrame, text_col: str, model: Model, penalty: float =
     Added columns replace those of the same name.
     """
     added = ("lang_pred", "score", "spans")
-    keep = [c for c in df.columns if c not in (text_col, *added)]
+    kept = [F.col("row").getField(c).alias(c) for c in df.columns if c not in (text_col, *added)]
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
-    names = [*keep, *added]
+    names = ["row", *added]
     shared = df.sparkSession.sparkContext.broadcast(model)
 
     def one(scores, starts, ends, place) -> tuple[str, float, list]:
@@ -193,8 +198,8 @@ def labelled_spans(df: DataFrame, text_col: str, model: Model, penalty: float =
         return shared.value.languages[top], float(size[top] / size.sum()), spans
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "_text", 2 << 20):
-            data, bounds = text_buffer(batch, "_text")
+        for batch in slices(batches, "text", 2 << 20):
+            data, bounds = text_buffer(batch, "text")
             found = [("und", 0.0, [])] * batch.num_rows
             if len(data) and shared.value.languages:
                 scores, starts, ends = shared.value.word_scores(data, bounds)
@@ -204,7 +209,7 @@ def labelled_spans(df: DataFrame, text_col: str, model: Model, penalty: float =
                 for i, (a, b) in enumerate(zip(cut, cut[1:])):
                     if bounds[i] == bounds[i + 1]:
                         continue
-                    if ascii_letters[bounds[i]] == ascii_letters[bounds[i + 1]] and not any(map(str.isalpha, batch.column("_text")[i].as_py())):
+                    if ascii_letters[bounds[i]] == ascii_letters[bounds[i + 1]] and not any(map(str.isalpha, batch.column("text")[i].as_py())):
                         continue
                     if a == b:  # odd letters that make no word tell nothing
                         found[i] = shared.value.languages[0], 1 / len(shared.value.languages), []
@@ -212,12 +217,14 @@ def labelled_spans(df: DataFrame, text_col: str, model: Model, penalty: float =
                     base = place[bounds[i]]
                     lang, score, spans = one(scores[a:b], starts[a:b], ends[a:b], place)
                     found[i] = lang, score, [s | {"start": s["start"] - int(base), "end": s["end"] - int(base)} for s in spans]
-            columns = [batch.column(c) for c in keep]
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], span)], names=names)
-
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.select(*keep).schema]
-    rows = df.select(*keep, F.col(text_col).alias("_text"))
-    return rows.mapInArrow(work, ", ".join([*schema, "lang_pred string, score double, spans array<struct<start:long,end:long,lang:string>>"]))
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], span)], names=names)
+
+    # The text goes once; the other columns as one struct, so that no names can clash.
+    others = [F.col(f"`{c.replace('`', '``')}`") for c in df.columns if c not in (text_col, *added)]
+    rows = df.select(F.struct(*(others or [F.lit(None).alias("none")])).alias("row"), F.col(text_col).alias("text"))
+    found = T.StructType.fromDDL("lang_pred string, score double, spans array<struct<start:bigint,end:bigint,lang:string>>")
+    schema = T.StructType([rows.schema["row"], *found.fields])
+    return rows.mapInArrow(work, schema).select(*kept, *added)
 
 
 def held_out(id_col: Column) -> Column:

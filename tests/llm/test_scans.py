@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from tessera.llm import avi, htmltext, langid, secrets
 from tessera.llm.queries import QUERIES
@@ -180,8 +181,12 @@ def test_undetermined(spark, docs, odd, empty, schema):
     none = langid.fit(empty, "text", "lang", empty["doc_id"])
     assert {r["lang_pred"] for r in langid.labelled_spans(odd, "text", none).collect()} == {"und"}
     assert langid.labelled_spans(empty, "text", model).count() == 0
-    for df in (docs, odd, empty):
+    for df in (docs, odd, empty, odd.withColumns({c: F.lit("x") for c in ("_text", "row", "spans", "score", "_doc", "_t", "a.b")})):
         assert langid.known_language(df).schema == df.schema
+    clash = langid.labelled_spans(odd.withColumns({c: F.lit("x") for c in ("_text", "row", "text_", "a.b")}), "text", model)
+    assert clash.columns == ["doc_id", "lang", "source", "n_chars", "_text", "row", "text_", "a.b", "lang_pred", "score", "spans"] and clash.count() == odd.count()
+    many = spark.createDataFrame([(i, f"word{i} text", f"l{i:03}") for i in range(200)], "doc_id int, text string, lang string")
+    assert len(langid.fit(many, "text", "lang", many["doc_id"]).languages) == langid.LANGUAGES
 
 
 # Pages
