@@ -51,6 +51,22 @@ class Engine:
         self.catalog.set_data_file(table, parquet_path)
         return self.catalog.read(table)
 
+    def append(self, table: str, rows: DataFrame) -> DataFrame:
+        """Rows added to a table's files. Its indexes and statistics no longer hold: the ones are passed over, the others forgotten."""
+        kept = self.catalog.table(table)
+        rows.select(*kept.columns).write.mode("append").parquet(kept.path)
+        kept.rows, kept.distinct = None, {}
+        return self.catalog.read(table)
+
+    def outline(self, text: str) -> list[tuple[int, str]]:
+        """The operators of a query's optimized plan, from the top, with their depth."""
+
+        def below(node, depth: int) -> list[tuple[int, str]]:
+            children = node.children()
+            return [(depth, node.nodeName()), *(x for i in range(children.size()) for x in below(children.apply(i), depth + 1))]
+
+        return below(self.sql(text)._jdf.queryExecution().optimizedPlan(), 0)
+
     def run_to(self, text: str, path: str) -> None:
         """Run a query into a bar-separated text sink."""
         write_bars(self.sql(text), path)

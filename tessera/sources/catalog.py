@@ -6,6 +6,7 @@ Parquet. Statistics can be set by hand or gathered by Spark in one pass.
 
 from __future__ import annotations
 
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field
 
@@ -34,6 +35,8 @@ class IndexDef:
     table: str
     column: str
     path: str
+    #: Stamp of the table's files that the copy was made of.
+    source: str = ""
 
 
 class CatalogError(ValueError):
@@ -140,6 +143,25 @@ class Catalog:
     def index_on(self, table: str, column: str) -> IndexDef | None:
         return next((i for i in self._indexes.values() if (i.table, i.column) == (table, column)), None)
 
+    def stamp(self, name: str) -> str:
+        """A digest of the names, lengths and times of a table's files; another one after any load, append or rewrite."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.table(name).path)
+        files, found = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).listFiles(path, True), []
+        while files.hasNext():
+            f = files.next()
+            found.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+        return hashlib.md5("\n".join(sorted(found)).encode()).hexdigest()
+
+    def usable_index(self, table: str, column: str) -> IndexDef | None:
+        """The index on a column if its copy was made of the files that the table has now."""
+        index = self.index_on(table, column)
+        return index if index and index.source == self.stamp(table) else None
+
+    def drop_index(self, name: str) -> None:
+        """Forget an index; its copy stays."""
+        if self._indexes.pop(name, None) is None:
+            raise CatalogError(f"no index {name}")
+
     def has_index(self, table: str, column: str) -> bool:
         return self.index_on(table, column) is not None
 

@@ -127,3 +127,33 @@ def test_entry_and_registry(spark):
 
     assert __spark_entry__.entry(spark).columns == ["sum"]
     assert __spark_entry__.oracle_sql().keys() <= __spark_entry__.queries().keys()
+
+
+def test_an_index_of_other_files_is_passed_over(spark, small, tmp_path):
+    engine = Engine(spark)
+    path = str(tmp_path / "numbers")
+    spark.range(10).selectExpr("id AS k", "id * 2 AS v").write.parquet(path)
+    engine.catalog.register_parquet("numbers", path)
+    engine.create_index("by_k", "numbers", "k", str(tmp_path / "by_k"))
+    count = lambda: engine.sql("SELECT COUNT(*) FROM numbers WHERE k > 5").first()[0]
+    assert count() == 4 and "by_k" in plan(engine.sql("SELECT k FROM numbers WHERE k > 5"))
+    engine.append("numbers", spark.range(10, 20).selectExpr("id AS k", "id AS v"))
+    assert count() == 14 and "by_k" not in plan(engine.sql("SELECT k FROM numbers WHERE k > 5"))
+    spark.range(7).selectExpr("id AS k", "id AS v").write.parquet(str(tmp_path / "fewer"))
+    engine.catalog.set_data_file("numbers", str(tmp_path / "fewer"))
+    assert count() == 1
+
+
+def test_joins_start_where_the_estimated_join_is_smallest(spark, small):
+    """A large table that its filter and key make small comes before a small one that multiplies rows."""
+    engine = Engine.over(spark, small)
+    for t, n, distinct in (("lineitem", 6000, {"l_orderkey": 1500, "l_suppkey": 10}), ("orders", 1500, {"o_orderkey": 1500}), ("supplier", 10, {"s_suppkey": 10, "s_nationkey": 2}), ("customer", 150, {"c_nationkey": 2})):
+        engine.catalog.set_row_count(t, n)
+        for c, k in distinct.items():
+            engine.catalog.set_distinct_count(t, c, k)
+    text = "SELECT o_orderkey, c_custkey FROM lineitem, orders, supplier, customer WHERE l_orderkey = o_orderkey AND l_suppkey = s_suppkey AND s_nationkey = c_nationkey AND o_orderkey = 7"
+    names = [n for _, n in engine.outline(text)]
+    assert names.count("Join") == 3
+    whole = engine.sql(text)
+    assert whole.columns == ["o_orderkey", "c_custkey"]
+    assert whole.exceptAll(engine.sql(text, algorithm="merge")).count() == 0
