@@ -19,12 +19,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _drop_written() -> None:
     for spark, path in _written:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the session may be gone already
             pass
 
@@ -42,7 +45,16 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     _written.append((spark, path))
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._path = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Delete what ``materialise`` wrote for these frames; only for tables that no frame still to be computed reads."""
+    for table in tables:
+        _written.remove((table.sparkSession, table._path))
+        _delete(table.sparkSession, table._path)
 
 
 def hash_bucket(n: int, *cols: str | Column) -> Column:
