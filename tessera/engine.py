@@ -20,6 +20,8 @@ SCALES = {
     "orders": {"o_totalprice": (12, 2)},
     "lineitem": {"l_quantity": (6, 2), "l_extendedprice": (12, 2), "l_discount": (4, 2), "l_tax": (4, 2)},
 }
+#: What tells the rows of a table apart; lineitem has no such column.
+KEYS = {"region": "r_regionkey", "nation": "n_nationkey", "customer": "c_custkey", "supplier": "s_suppkey", "part": "p_partkey", "orders": "o_orderkey"}
 STAR = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
 
 
@@ -32,7 +34,7 @@ class Engine:
         """An engine over the Parquet tables of a folder."""
         engine = cls(spark)
         for t in tables:
-            engine.catalog.defer_parquet(t, f"{folder}/{t}.parquet", SCALES.get(t))
+            engine.catalog.defer_parquet(t, f"{folder}/{t}.parquet", SCALES.get(t), KEYS.get(t, ""))
         return engine
 
     def sql(self, text: str, algorithm: str = "auto", legacy_arith: bool = False, use_indexes: bool = True, strict_types: bool = False) -> DataFrame | IndexDef:

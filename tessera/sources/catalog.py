@@ -24,6 +24,8 @@ class TableDef:
     rows: int | None = None
     distinct: dict[str, int] = field(default_factory=dict)
     scales: dict[str, tuple[int, int]] = field(default_factory=dict)
+    #: A column that tells all rows apart, where one is declared; only estimates rest on it.
+    key: str = ""
 
     def schema(self) -> T.StructType:
         return T.StructType([T.StructField(n, TYPES[t]) for n, t in self.columns.items()])
@@ -49,32 +51,34 @@ class Catalog:
         self._tables: dict[str, TableDef] = {}
         self._indexes: dict[str, IndexDef] = {}
         #: Tables whose files are not looked at before a query names them, and the schemas of files.
-        self._deferred: dict[str, tuple[str, dict[str, tuple[int, int]] | None]] = {}
+        self._deferred: dict[str, tuple[str, dict[str, tuple[int, int]] | None, str]] = {}
         self._files: dict[str, T.StructType] = {}
 
     # Definitions
-    def create_table(self, name: str, columns: list[tuple[str, str]], path: str = "", scales: dict[str, tuple[int, int]] | None = None) -> TableDef:
+    def create_table(self, name: str, columns: list[tuple[str, str]], path: str = "", scales: dict[str, tuple[int, int]] | None = None, key: str = "") -> TableDef:
         if name in self._tables or name in self._deferred:
             raise CatalogError(f"table {name} exists")
         if len({c for c, _ in columns}) < len(columns):
             raise CatalogError(f"a column of {name} is there twice")
         if unknown := [t for _, t in columns if t not in TYPES]:
             raise CatalogError(f"unknown type {unknown[0]}")
-        self._tables[name] = TableDef(name, dict(columns), path, scales=scales or {})
+        if key and key not in dict(columns):
+            raise CatalogError(f"no column {key} in {name}")
+        self._tables[name] = TableDef(name, dict(columns), path, scales=scales or {}, key=key)
         return self._tables[name]
 
-    def register_parquet(self, name: str, path: str, scales: dict[str, tuple[int, int]] | None = None) -> TableDef:
+    def register_parquet(self, name: str, path: str, scales: dict[str, tuple[int, int]] | None = None, key: str = "") -> TableDef:
         """A table whose columns are those of Parquet files."""
         kinds, self._files[path] = [], self.spark.read.parquet(path).schema
         for f in self._files[path]:
             kinds.append((f.name, "INTEGER" if isinstance(f.dataType, T.IntegralType) else "FLOAT" if isinstance(f.dataType, (T.FractionalType, T.DecimalType)) else "STRING"))
-        return self.create_table(name, kinds, path, scales)
+        return self.create_table(name, kinds, path, scales, key)
 
-    def defer_parquet(self, name: str, path: str, scales: dict[str, tuple[int, int]] | None = None) -> None:
+    def defer_parquet(self, name: str, path: str, scales: dict[str, tuple[int, int]] | None = None, key: str = "") -> None:
         """Like ``register_parquet``, once the table is first used."""
         if name in self._tables or name in self._deferred:
             raise CatalogError(f"table {name} exists")
-        self._deferred[name] = (path, scales)
+        self._deferred[name] = (path, scales, key)
 
     def drop_table(self, name: str) -> None:
         """Forget a table and its indexes; files stay."""

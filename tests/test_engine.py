@@ -157,3 +157,17 @@ def test_joins_start_where_the_estimated_join_is_smallest(spark, small):
     whole = engine.sql(text)
     assert whole.columns == ["o_orderkey", "c_custkey"]
     assert whole.exceptAll(engine.sql(text, algorithm="merge")).count() == 0
+
+
+def test_tables_meet_by_a_key_before_they_multiply(spark, small):
+    """Customers and suppliers of one nation are joined last, also where nothing but keys is known."""
+    from tessera.queries import TEXTS
+
+    engine = Engine.over(spark, small)
+    for t, n in (("lineitem", 36_000_000), ("orders", 9_000_000), ("customer", 900_000), ("supplier", 60_000)):
+        engine.catalog.set_row_count(t, n)
+    plan_of = engine.sql(TEXTS["join_multikey"][0])._jdf.queryExecution().optimizedPlan().toString()
+    joins = [line for line in plan_of.splitlines() if "Join Inner" in line]
+    assert len(joins) == 3 and "nationkey" in joins[0] and "key" in joins[0].replace("nationkey", "") and not any("nationkey" in j for j in joins[1:])
+    with pytest.raises(CatalogError):
+        Catalog(spark).create_table("t", [("a", "INTEGER")], key="b")
