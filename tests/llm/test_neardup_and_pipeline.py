@@ -177,3 +177,29 @@ def test_pipeline_stages_take_odd_tables(spark, small, odd, empty):
         for name, stage in corpus_pipeline.STAGES[:-1]:
             assert stage(spark, df, small).columns == df.columns, name
         assert corpus_pipeline.STAGES[-1][1](spark, df, small).count() >= df.count()
+
+
+@pytest.mark.parametrize("block", [2048, 16])
+def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, block):
+    """Near copies that no hub is like, with no two words running in common outside the passage that all have."""
+    monkeypatch.setattr(neardup, "BLOCK", block)
+    rnd = random.Random(7)
+    new = lambda n: [f"t{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, rows = new(60), []
+    for i in range(60):
+        tail = new(40)
+        edited = [f"e{rnd.randrange(10**9)}" if k % 2 else w for k, w in enumerate(tail)]  # 20 edits of 100 words
+        rows += [(2 * i, " ".join(passage + tail)), (2 * i + 1, " ".join(passage + edited))]
+    rows += [(200 + i, " ".join(passage[: 60 - i] + new(40))) for i in range(30)]
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {(r["id"], r["class_id"]) for r in found.collect()} == {(i, i - i % 2 if i < 200 else i) for i, _ in rows}
+
+
+@settings(max_examples=200, deadline=None)
+@given(words, words)
+def test_word_counts_never_rule_out_what_is_alike(a, b):
+    x, y = (np.frombuffer(neardup.word_counts(np.array(v * 60, np.uint32)), np.uint8) for v in (a, b))
+    bins = min(len(x), len(y))
+    x, y = (neardup.folded(v, bins).astype(int) for v in (x, y))
+    common = sum((collections.Counter(a * 60) & collections.Counter(b * 60)).values())
+    assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= 60 * max(len(a), len(b)) - common
