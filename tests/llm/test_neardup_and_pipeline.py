@@ -203,3 +203,15 @@ def test_word_counts_never_rule_out_what_is_alike(a, b):
     x, y = (neardup.folded(v, bins).astype(int) for v in (x, y))
     common = sum((collections.Counter(a * 60) & collections.Counter(b * 60)).values())
     assert max(np.maximum(x - y, 0).sum(), np.maximum(y - x, 0).sum()) <= 60 * max(len(a), len(b)) - common
+
+
+def test_near_dedup_keeps_one_of_pairs_that_no_hub_is_like(spark, schema):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    rnd = random.Random(11)
+    new = lambda n: [f"t{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, rows = new(60), []
+    for i in range(50):
+        tail = new(40)
+        rows += [(2 * i, passage + tail), (2 * i + 1, passage + [f"e{rnd.randrange(10**9)}" if k % 2 else w for k, w in enumerate(tail)])]
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "a", len(" ".join(x))) for i, x in rows], schema)
+    assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 100, 2))
