@@ -195,6 +195,36 @@ def test_all_pairs_of_a_bucket_are_compared(spark, monkeypatch, block):
     assert {(r["id"], r["class_id"]) for r in found.collect()} == {(i, i - i % 2 if i < 200 else i) for i, _ in rows}
 
 
+def test_rows_of_a_large_bucket_grow_with_its_members(spark, monkeypatch):
+    """What is dealt of a text is bounded by its rare words, 21 of 100, and not by how many blocks its buckets have."""
+    dealt, frame = [], type(spark.range(1))
+    repartition = frame.repartition
+    monkeypatch.setattr(frame, "repartition", lambda df, *by: dealt.append(df) or repartition(df, *by))
+    monkeypatch.setattr(neardup, "BLOCK", 8)
+    monkeypatch.setattr(neardup, "GROUP", 8, raising=False)
+    rnd = random.Random(13)
+    new = lambda n: [f"t{rnd.randrange(10**9)}" for _ in range(n)]
+    passage, rows = new(60), []
+    for i in range(150):
+        tail = new(40)
+        rows += [(2 * i, " ".join(passage + tail)), (2 * i + 1, " ".join(passage + [f"e{rnd.randrange(10**9)}" if k % 2 else w for k, w in enumerate(tail)]))]
+    found = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id", "text")
+    assert {(r["id"], r["class_id"]) for r in found.collect()} == {(i, i - i % 2) for i, _ in rows}
+    assert 300 < max(df.count() for df in dealt) <= 300 * 21
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.integers(0, 30), min_size=1, max_size=40), st.lists(st.tuples(st.integers(0, 2), st.integers(0, 40), st.integers(0, 30)), max_size=8), st.integers(0, 3), st.sampled_from([0.5, 0.8, 0.9]))
+def test_texts_that_are_alike_share_a_rare_word(a, edits, seed, threshold):
+    b = list(a)
+    for kind, at, word in edits[: int((1 - threshold) * len(a) + 1e-9)]:
+        at %= len(b) + 1
+        b[at : at + (kind > 0)] = [word] * (kind < 2)
+    levels = np.random.default_rng(seed).integers(0, 4, 1 << neardup.RANKS).astype(np.uint8)
+    rare = [set(neardup.rare_words(np.array(x, np.uint32), levels, threshold).tolist()) for x in (a, b)]
+    assert rare[0] & rare[1] or distance(a, b) > (1 - threshold) * max(len(a), len(b)) + 1e-9
+
+
 @settings(max_examples=200, deadline=None)
 @given(words, words)
 def test_word_counts_never_rule_out_what_is_alike(a, b):
