@@ -1,12 +1,14 @@
 import collections
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from tessera.llm import neardup
+from tessera.llm import neardup, shared
 
 
 def distance(a, b):
@@ -245,3 +247,42 @@ def test_near_dedup_keeps_one_of_pairs_that_no_hub_is_like(spark, schema):
         rows += [(2 * i, passage + tail), (2 * i + 1, passage + [f"e{rnd.randrange(10**9)}" if k % 2 else w for k, w in enumerate(tail)])]
     docs = spark.createDataFrame([(i, " ".join(x), "en", "a", len(" ".join(x))) for i, x in rows], schema)
     assert sorted(r["doc_id"] for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 100, 2))
+
+
+def test_shuffle_files_go_once_a_table_is_written(spark):
+    local = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    files = lambda: {p for d in local for p in Path(d).rglob("shuffle_*")}
+    before, setting = files(), "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    spark.conf.set(setting, "false")
+    try:
+        found = shared.materialise(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts")
+        assert spark.conf.get(setting) == "false"
+    finally:
+        spark.conf.unset(setting)
+    for _ in range(50):  # they go in the background
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before and found.count() == 7
+
+
+def test_tables_of_words_and_buckets_go_when_classes_are_known(spark, docs):
+    folder = Path(shared.checkpoint_dir(spark).removeprefix("file:"))
+    before = set(folder.iterdir()) if folder.exists() else set()
+    found = neardup.classes(docs, "doc_id", "text")
+    left = {p.name.rsplit("-", 1)[0] for p in set(folder.iterdir()) - before}
+    assert left and not left & {"sketches", "keys", "hubs", "held", "pairs", "needed", "words", "rooted", "rest", "large"}
+    assert found.count() == docs.count()
+
+
+def test_repeated_rows_shuffle_texts_once(spark, odd, schema):
+    rows = spark.createDataFrame(odd.collect() + odd.where("doc_id IS NULL").collect(), schema).where("text IS NOT NULL")
+    setting = "spark.sql.autoBroadcastJoinThreshold"
+    spark.conf.set(setting, "-1")
+    try:
+        kept = neardup.one_of_each(rows, "doc_id", "text")
+        assert sorted(r["doc_id"] or 0 for r in kept.collect()) == [0, 2, 3, 4, 5, 6, 7, 8]
+        plan = kept._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset(setting)
+    assert plan.count("Exchange hashpartitioning") == 3  # texts, and what is kept by class and by key
